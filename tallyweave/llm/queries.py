@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .secrets import op2_secret_scan
 from .tokenids import op1_token_ids
+from .topk import OP4_SQL, op4_exact_topk
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_exact_topk": op4_exact_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": OP4_SQL,
+}
