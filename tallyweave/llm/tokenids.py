@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-_CHUNK = re.compile(r"\s?\S+|\s+(?=\s\S)|\s+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_CHUNK = re.compile(rf"\s?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|$)|\s?\S+|\s+(?=\s\S)|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _JOINABLE = re.compile(r"\s\S+")
 
@@ -30,12 +32,13 @@ class ChunkEncoder:
     """Byte-level BPE of whole texts through the tokenizers library, with a cache by chunk.
 
     The vocabulary's pre-tokenizer never joins two chunks of ``_CHUNK``: a run of white space gives its
-    last character to the word behind it and is a token of its own otherwise. So chunks are encoded once
-    per worker and their ids put together. Texts with U+001C..U+001F, which only one side counts as
-    white space, are encoded whole.
+    last character to the word behind it and is a token of its own otherwise, and a run of letters ends
+    where another character follows. So chunks are encoded once per worker and their ids put together;
+    a full cache loses its older half. Texts with U+001C..U+001F, which only one side counts as white
+    space, are encoded whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         import numpy as np
@@ -56,8 +59,6 @@ class ChunkEncoder:
 
     def _learn(self, missing: list[str]) -> None:
         np = self.np
-        if len(self.cache) > self.LIMIT:
-            self.cache.clear()
         together = [c for c in missing if _JOINABLE.fullmatch(c)]
         if together:
             ids = self._ids("".join(together))
@@ -79,7 +80,7 @@ class ChunkEncoder:
         chunks = [[] if odd else _CHUNK.findall(t) for t, odd in zip(texts, whole, strict=True)]
         seen = set().union(*chunks) if chunks else set()
         if len(self.cache) + len(seen) > self.LIMIT:
-            self.cache.clear()
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
         missing = [c for c in seen if c not in self.cache]
         if missing:
             self._learn(missing)
