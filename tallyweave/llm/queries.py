@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_rotation
+from .decontam import op5_decontamination
 from .pii import op6_pii
 from .secrets import op2_secret_scan
 from .tokenids import op1_token_ids
@@ -14,12 +15,14 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_exact_topk": op4_exact_topk,
+    "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_chat_rotation": op7_chat_rotation,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
+    "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_chat_rotation": OP7_SQL,
 }
