@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_rotation
 from .decontam import op5_decontamination
+from .pieces import op9_sentencepiece
 from .pii import op6_pii
 from .secrets import op2_secret_scan
 from .tokenids import op1_token_ids
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_chat_rotation": op7_chat_rotation,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
