@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_rotation
 from .decontam import op5_decontamination
+from .neardup import op10_bagminhash
 from .pieces import op9_sentencepiece
 from .pii import op6_pii
 from .secrets import op2_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_chat_rotation": op7_chat_rotation,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_bagminhash": op10_bagminhash,
 }
 
 ORACLES: dict[str, str] = {
