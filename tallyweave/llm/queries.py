@@ -7,6 +7,7 @@ from .decontam import op5_decontamination
 from .neardup import op10_bagminhash
 from .pieces import op9_sentencepiece
 from .pii import op6_pii
+from .repeats import op8_suffix_repeats
 from .secrets import op2_secret_scan
 from .tokenids import op1_token_ids
 from .topk import OP4_SQL, op4_exact_topk
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_chat_rotation": op7_chat_rotation,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_bagminhash": op10_bagminhash,
 }
