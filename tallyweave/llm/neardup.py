@@ -7,10 +7,13 @@ is at least 0.8, and classes are the connected components of these links. Steps:
    registers each; a pair at the threshold shares no band with a chance of 5e-8.
 2. Texts with equal multisets are one node (their least id), whatever their number.
 3. Nodes that share a band are candidates. In each round every band that still holds nodes of different
-   components names a pivot, its other nodes of foreign components are compared with it, and the pivot
-   leaves the band; so in the end every candidate pair is linked by a path or was compared, and no pair
-   is written twice. Bands of at most SMALL nodes are settled at once. There is no cap.
-4. A comparison counts the shingles of both whole texts.
+   components names pivots, one of a component; the band's nodes of other components are compared with
+   them, and the pivots leave the band. So in the end every candidate pair is linked by a path or was
+   compared, no pair is written twice, and a band of near copies costs its pivot's comparisons. There is
+   no cap.
+4. In bands of more than LARGE nodes, shingles that just one of the crowd has are counted first: no
+   partner shares them, so nodes and pairs that cannot reach the threshold without them are ruled out.
+5. A comparison counts the shingles of both whole texts.
 
 Texts without words have no shingles and are in no class but their own. Null ids get a null class. Rows
 that share an id count as one document that has the links of each of its texts. An empty table gives an
@@ -19,7 +22,7 @@ empty result. Only id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -29,7 +32,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 ROWS = 4
-SMALL = 12
+LARGE = 256
 #: Most ids that are broadcast: 8 bytes each, some 32 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 
@@ -114,64 +117,94 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shared_counts(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(node, c): how many of a text's shingles some other text of the table has too."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .shingles import multisets
+
+        for batch in batches:
+            hashes, counts, owner = multisets(batch.column(1).to_pylist(), WIDTH)
+            # shingles of several texts of the batch are known to be shared: one row for all of them
+            order = np.argsort(hashes, kind="stable")
+            hashes, counts, owner = hashes[order], counts[order], owner[order]
+            first = np.ones(len(hashes), bool)
+            first[1:] = hashes[1:] != hashes[:-1]
+            at = np.flatnonzero(first)
+            met = np.diff(np.append(at, len(hashes)))
+            nodes = batch.column(0).to_numpy()
+            yield pa.record_batch([pa.array(hashes[at].view(np.int64)), pa.array(met), pa.array(nodes[owner[at]]), pa.array(counts[at])], names=["shingle", "met", "node", "times"])
+
+    seen = texts.select("node", "text").mapInArrow(run, "shingle long, met long, node long, times long")
+    single = seen.groupBy("shingle").agg(F.sum("met").alias("met"), F.min(F.struct("node", "times")).alias("one")).filter("met = 1")
+    return single.groupBy(F.col("one.node").alias("node")).agg(F.sum("one.times").alias("own"))
+
+
+def _may_match(a: str, b: str, similarity: float):
+    """Whether two texts can be similar enough, by their sizes and the shingles they can share."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(F.col(f"{a}.c"), F.col(f"{b}.c"), n, m)
+    return most >= (n + m - most) * similarity
+
+
+def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, large: int = LARGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) for every row of docs; class_id is the least id of the class."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketches = common.written(spark, sketch(spark, picked), "sketches")
     nodes = sketches.filter("doc_id IS NOT NULL AND k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = common.written(spark, nodes, "nodes")
-    keyed = sketches.select("doc_id", "k1", "k2", "n", "bands").join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    keyed = sketches.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     spread = keyed.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    spread = common.written(spark, spread.join(shared.select("band"), "band"), "bands")
-    members = spread.select("node").distinct()
-    texts = picked.join(few(common.written(spark, members.select(F.col("node").alias("doc_id")), "members")), "doc_id")
-    texts = common.written(spark, texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "texts")
-
-    rows = spread
-    tested = roots = None
-    links = spark.createDataFrame([], "a long, b long")
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
+    rows = common.written(spark, spread.join(shared, "band"), "bands")
+    roots = common.written(spark, rows.select("node", F.col("node").alias("root")).distinct(), "roots")
+    texts = picked.join(few(roots.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    texts = common.written(spark, texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+
+    rows = rows.withColumn("c", F.col("n"))
+    crowd = common.written(spark, rows.filter(F.col("members") > large).select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        own = common.written(spark, _shared_counts(spark, texts.join(few(crowd), "node", "left_semi")), "own")
+        rows = rows.join(few(own), "node", "left").withColumn("c", F.when(F.col("members") > large, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n"))).drop("own")
+        # the best partner that the band could have shares c shingles and has no others but the least size asks for
+        rows = rows.filter(F.col("c") >= (F.col("n") + F.greatest("least", "c") - F.col("c")) * similarity)
+        rows = common.written(spark, rows, "bands")
+    tested = None
     turn = 0
     while True:
-        if roots is not None:
-            own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            own = rows.withColumn("root", F.col("node"))
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
-        split = (
-            own.groupBy("band")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.min(order).alias("pivot"))
-            .filter("low <> high")
-            .select("band", "members", "pivot")
-        )
-        split = common.written(spark, split, "split")
-        if split.isEmpty():
+        placed = rows.join(roots, "node")
+        split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+        placed = common.written(spark, placed.join(split, "band"), "open")
+        if placed.isEmpty():
             break
-        open_rows = common.written(spark, own.join(split, "band"), "open")
-        like = lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity
-        star = open_rows.filter((F.col("root") != F.col("pivot.root")) & like(F.col("n"), F.col("pivot.n"))).select("node", F.col("pivot.node").alias("other"))
-        small = open_rows.filter((F.col("members") <= SMALL) & F.lit(turn > 0)).select("band", "node", "n", "root")
-        mates = small.alias("x").join(small.alias("y"), "band").filter((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & like(F.col("x.n"), F.col("y.n")))
-        pairs = star.unionByName(mates.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        # pivots: of each component the text with the largest shared part; components with few members first
+        central = F.struct((-F.col("c") / F.col("n")).alias("by"), F.xxhash64("node").alias("at"), "node", "n", "c")
+        parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.min(central).alias("best"))
+        place = F.row_number().over(Window.partitionBy("band").orderBy("size", "best"))
+        pivots = parts.withColumn("place", place).filter(F.col("place") <= (1 if turn == 0 else 8 * 4 ** min(turn - 1, 4)))
+        pivots = common.written(spark, pivots.select("band", "root", "best.node", "best.n", "best.c"), "pivots")
+        met = placed.alias("x").join(pivots.alias("y"), "band").filter((F.col("x.root") != F.col("y.root")) & _may_match("x", "y", similarity))
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(spark, pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = common.written(spark, _overlaps(spark, pairs, texts, similarity), "found")
-        links = links.unionByName(found)
         if not found.isEmpty():
-            roots = components.roots(spark, links)
-        # pivots have met all of their band; small bands are settled after the first round
-        settled = (F.col("members") <= SMALL) & F.lit(turn > 0)
-        rows = open_rows.filter(~settled & (F.col("node") != F.col("pivot.node"))).select("node", "n", "band")
+            links = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b")
+            merged = components.roots(spark, links.select(F.col("p").alias("a"), F.col("q").alias("b")))
+            moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            roots = common.written(spark, moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        # a pivot has met all of its band
+        rows = placed.drop("root").join(pivots.select("band", "node"), ["band", "node"], "left_anti")
         turn += 1
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
     of_node = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    rows = sketches.select("doc_id", "k1", "k2").join(of_node, ["k1", "k2"], "left").select("doc_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), "doc_id").alias("class_id"))
-    sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
+    found = sketches.select("doc_id", "k1", "k2").join(of_node, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
