@@ -89,6 +89,42 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", F.lit(1).alias("page"), (order - 1).alias("reading_order"), F.format_string("ocr_%04d", order).alias("id"), "text", "x0", "y0", "x1", "y1")
 
 
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned text of one form per customer: labelled fields, two address columns, payment fields. Some forms are ambiguous."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    mark = lambda text, x0, y0, x1, y1: F.struct((text if not isinstance(text, str) else F.lit(text)).alias("text"), F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1"))
+    joined = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
+    only = lambda when, *x: F.when(when, F.array(*x)).otherwise(F.array().cast("array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>"))
+    zip_b, zip_d = joined(10000 + F.pmod(k, F.lit(80000)), " ", F.col("n_name")), joined(20000 + F.pmod(k, F.lit(70000)), " ", F.col("n_name"))
+    always = F.array(
+        mark("COMPANY", 80, 40, 220, 60), mark(F.col("c_name"), 80, 65, 330, 85), mark("CONTACT NAME", 620, 40, 820, 60), mark(joined("Ann Mary ", F.col("n_name")), 620, 65, 780, 85),
+        mark("Billing Address", 80, 100, 280, 130), mark("Delivery Address", 620, 100, 850, 130), mark(joined("Main Road ", k), 80, 145, 310, 170), mark(joined("Dock Road ", k), 620, 145, 830, 170),
+        mark(zip_b, 80, 185, 300, 210), mark(zip_d, 620, 185, 830, 210), mark("Germany", 80, 225, 180, 250), mark("PAYMENT", 60, 340, 180, 370),
+        mark("PAYMENT METHOD", 100, 400, 300, 420), mark("Bank Transfer", 100, 430, 300, 450), mark("PAID STATUS", 400, 400, 600, 420), mark("PAYMENT DATE", 700, 400, 900, 420), mark("2026-07-18", 700, 430, 850, 450),
+    )
+    every = F.concat(
+        always,
+        only(F.pmod(k, F.lit(7)) != 0, mark("Germany", 620, 225, 720, 250)),
+        only(F.pmod(k, F.lit(5)) == 0, mark(zip_b, 620, 265, 830, 290)),
+        only(F.pmod(k, F.lit(6)) != 5, mark("PAID", 400, 430, 500, 450)),
+        only(F.pmod(k, F.lit(6)) == 0, mark("UNPAID", 400, 430, 500, 450)),
+    )
+    long = c.select(k.alias("doc_id"), F.explode(every).alias("m")).select("doc_id", F.lit(1).alias("page"), "m.*")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("y0", "x0", "y1", "x1", "text"))
+    return long.withColumn("reading_order", order - 1).withColumn("id", F.format_string("ocr_%04d", order))
+
+
+_FORM = [
+    ("'COMPANY'", 80, 40, 220, 60, ""), ("c_name", 80, 65, 330, 85, ""), ("'CONTACT NAME'", 620, 40, 820, 60, ""), ("concat('Ann Mary ', n_name)", 620, 65, 780, 85, ""),
+    ("'Billing Address'", 80, 100, 280, 130, ""), ("'Delivery Address'", 620, 100, 850, 130, ""), ("concat('Main Road ', c_custkey)", 80, 145, 310, 170, ""), ("concat('Dock Road ', c_custkey)", 620, 145, 830, 170, ""),
+    ("concat(10000 + c_custkey % 80000, ' ', n_name)", 80, 185, 300, 210, ""), ("concat(20000 + c_custkey % 70000, ' ', n_name)", 620, 185, 830, 210, ""), ("'Germany'", 80, 225, 180, 250, ""), ("'PAYMENT'", 60, 340, 180, 370, ""),
+    ("'PAYMENT METHOD'", 100, 400, 300, 420, ""), ("'Bank Transfer'", 100, 430, 300, 450, ""), ("'PAID STATUS'", 400, 400, 600, 420, ""), ("'PAYMENT DATE'", 700, 400, 900, 420, ""), ("'2026-07-18'", 700, 430, 850, 450, ""),
+    ("'Germany'", 620, 225, 720, 250, "c_custkey % 7 <> 0"), ("concat(10000 + c_custkey % 80000, ' ', n_name)", 620, 265, 830, 290, "c_custkey % 5 = 0"),
+    ("'PAID'", 400, 430, 500, 450, "c_custkey % 6 <> 5"), ("'UNPAID'", 400, 430, 500, 450, "c_custkey % 6 = 0"),
+]
+_FORM_ROWS = " UNION ALL ".join(f"SELECT c_custkey AS doc_id, {t} AS text, {a} AS x0, {b} AS y0, {c} AS x1, {d} AS y1 FROM cust{f' WHERE {w}' if w else ''}" for t, a, b, c, d, w in _FORM)
+
 _NET = "CAST(round(CAST(quantity * price AS DECIMAL(30,8)) * (CAST(100 AS DECIMAL(3,0)) - discount), 0) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 _VAT = "CAST(round(CAST(net AS DECIMAL(26,2)) * vat, 0) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 _HEAD_ROWS = ", ".join(f"{{'text': '{t}', 'x0': {a}, 'y0': 100, 'x1': {b}}}" for t, a, b in HEADINGS)
@@ -132,6 +168,10 @@ placed AS (
 spans AS (
   SELECT doc_id, 1 AS page, CAST(n - 1 AS INTEGER) AS reading_order, printf('ocr_%04d', n) AS id, text, x0, y0, x1, y0 + 30 AS y1
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, x1) AS n FROM placed))""",
+    "forms": f"""cust AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey),
+form_rows AS ({_FORM_ROWS}),
+forms AS (SELECT doc_id, 1 AS page, text, x0, y0, x1, y1, CAST(n - 1 AS INTEGER) AS reading_order, printf('ocr_%04d', n) AS id
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, y1, x1, text) AS n FROM form_rows))""",
 }
 
 
