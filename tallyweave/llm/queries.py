@@ -28,7 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
-    "op5_decontamination": op5_decontamination,
-    "op6_pii": op6_pii,
     "op7_chat_rotation": OP7_SQL,
 }
