@@ -115,6 +115,26 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("reading_order", order - 1).withColumn("id", F.format_string("ocr_%04d", order))
 
 
+CLAIM_FIELDS = ("sku", "quantity", "unit_net_price", "source_total")
+
+
+def claim_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(claims, headers, spans, cells) over the items; some claims are repeated, misplaced, unknown, empty or wrong."""
+    own = lines(spark, sf_dir)
+    texts = [F.col("sku"), printed(F.col("quantity")), printed(F.col("price")), printed(F.col("source_total"))]
+    fields = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("field"), t.alias("text")) for k, (f, t) in enumerate(zip(CLAIM_FIELDS, texts, strict=True)))))
+    long = own.select("doc_id", "pos", fields.alias("c")).select("doc_id", "pos", "c.*").withColumn("s", F.col("doc_id") + F.col("pos") * 7 + F.col("k"))
+    s, ident = F.col("s"), lambda k: F.concat(F.lit("e"), F.col("pos").cast("string"), F.lit("_"), k.cast("string"))
+    ids = F.when(s % 17 == 0, F.array(F.lit("x9"))).when(s % 19 == 1, F.array().cast("array<string>")).when(s % 23 == 2, F.array(ident((F.col("k") + 1) % 4))).otherwise(F.array(ident(F.col("k"))))
+    path = lambda i, f: F.concat(F.lit("items["), i.cast("string"), F.lit("]."), f)
+    where = F.when(s % 11 == 0, path(F.lit(0), F.col("field"))).when(s % 13 == 1, F.lit("items[500].sku")).otherwise(path(F.col("pos"), F.col("field")))
+    claims = long.select("doc_id", (F.col("pos") * 4 + F.col("k")).alias("ord"), where.alias("path"), F.when(s % 29 == 3, None).when(s % 31 == 4, "zzz").otherwise(F.col("text")).alias("value"), ids.alias("evidence_ids"), F.lit(None).cast("string").alias("ambiguity"))
+    spans = long.select("doc_id", ident(F.col("k")).alias("id"), "text", (F.col("pos") * 4 + F.col("k")).alias("reading_order"))
+    cells = long.select("doc_id", ident(F.col("k")).alias("id"), F.col("pos").alias("row"), F.col("field").alias("role"))
+    headers = own.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("item_count")).withColumn("delivery", F.col("doc_id") % 2 == 0)
+    return claims, headers, spans, cells
+
+
 _FORM = [
     ("'COMPANY'", 80, 40, 220, 60, ""), ("c_name", 80, 65, 330, 85, ""), ("'CONTACT NAME'", 620, 40, 820, 60, ""), ("concat('Ann Mary ', n_name)", 620, 65, 780, 85, ""),
     ("'Billing Address'", 80, 100, 280, 130, ""), ("'Delivery Address'", 620, 100, 850, 130, ""), ("concat('Main Road ', c_custkey)", 80, 145, 310, 170, ""), ("concat('Dock Road ', c_custkey)", 620, 145, 830, 170, ""),
@@ -168,6 +188,27 @@ placed AS (
 spans AS (
   SELECT doc_id, 1 AS page, CAST(n - 1 AS INTEGER) AS reading_order, printf('ocr_%04d', n) AS id, text, x0, y0, x1, y0 + 30 AS y1
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, x1) AS n FROM placed))""",
+    "claims": """clong AS (
+  SELECT doc_id, pos, c.k AS k, c.f AS field, c.t AS text, doc_id + pos * 7 + c.k AS s FROM (
+    SELECT doc_id, pos, unnest([{'k': 0, 'f': 'sku', 't': sku}, {'k': 1, 'f': 'quantity', 't': CAST(CAST(quantity AS DECIMAL(18,2)) AS VARCHAR)},
+      {'k': 2, 'f': 'unit_net_price', 't': CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)}, {'k': 3, 'f': 'source_total', 't': CAST(source_total AS VARCHAR)}]) AS c FROM lines)),
+claims AS (
+  SELECT doc_id, pos * 4 + k AS ord, CASE WHEN s % 11 = 0 THEN concat('items[0].', field) WHEN s % 13 = 1 THEN 'items[500].sku' ELSE concat('items[', pos, '].', field) END AS path,
+         CASE WHEN s % 29 = 3 THEN NULL WHEN s % 31 = 4 THEN 'zzz' ELSE text END AS value,
+         CASE WHEN s % 17 = 0 THEN 'x9' WHEN s % 19 = 1 THEN NULL WHEN s % 23 = 2 THEN concat('e', pos, '_', (k + 1) % 4) ELSE concat('e', pos, '_', k) END AS eid
+  FROM clong),
+cells AS (SELECT doc_id, concat('e', pos, '_', k) AS id, pos AS row, field AS role, text, pos * 4 + k AS reading_order FROM clong),
+chdr AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS item_count, doc_id % 2 = 0 AS delivery FROM lines GROUP BY doc_id),
+checked AS (
+  SELECT c.doc_id, c.ord, c.path, c.value, c.eid, l.text AS cited,
+    CASE WHEN row_number() OVER (PARTITION BY c.doc_id, c.path ORDER BY c.ord) > 1 THEN 'DUPLICATE_CLAIM'
+         WHEN c.path = 'items[500].sku' AND h.item_count <= 500 THEN 'UNSUPPORTED_CLAIM_PATH'
+         WHEN c.value IS NULL THEN NULL
+         WHEN c.eid = 'x9' THEN 'UNKNOWN_EVIDENCE_ID'
+         WHEN c.eid IS NULL THEN 'MISSING_EVIDENCE'
+         WHEN c.path <> concat('items[', l.row, '].', l.role) THEN 'TABLE_CELL_MISMATCH'
+         WHEN c.value <> l.text THEN 'UNGROUNDED_VALUE' END AS code
+  FROM claims c JOIN chdr h ON c.doc_id = h.doc_id LEFT JOIN cells l ON c.doc_id = l.doc_id AND c.eid = l.id)""",
     "forms": f"""cust AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey),
 form_rows AS ({_FORM_ROWS}),
 forms AS (SELECT doc_id, 1 AS page, text, x0, y0, x1, y1, CAST(n - 1 AS INTEGER) AS reading_order, printf('ocr_%04d', n) AS id
@@ -177,8 +218,8 @@ forms AS (SELECT doc_id, 1 AS page, text, x0, y0, x1, y1, CAST(n - 1 AS INTEGER)
 
 def oracle(body: str, *names: str) -> str:
     """SQL with the twins named, and what they build on, in front."""
-    wanted = {"items", *names} if {"lines", "spans"} & set(names) else set(names)
-    if "spans" in wanted:
+    wanted = {"items", *names} if {"lines", "spans", "claims"} & set(names) else set(names)
+    if {"spans", "claims"} & wanted:
         wanted.add("lines")
     parts = [CTES[n] for n in CTES if n in wanted]
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
