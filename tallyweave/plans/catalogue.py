@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("reconciliation", "layout", "claims")
+MODULES: tuple[str, ...] = ("reconciliation", "layout", "claims", "workflow")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
