@@ -45,7 +45,7 @@ def decimals_in_text(c: Column) -> Column:
 def only_decimal(c: Column) -> Column:
     """The number of a text that holds exactly one."""
     found = decimals_in_text(c)
-    return F.when(F.size(found) == 1, found[0])
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def loose_decimal(c: Column) -> Column:

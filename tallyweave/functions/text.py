@@ -77,8 +77,8 @@ def contact_name(c: Column) -> Column:
     """(first, last) of a printed name; a single word is the last name."""
     parts = F.split(F.trim(c), r"\s+", 2)
     return F.struct(
-        F.when(F.size(parts) == 2, parts[0]).alias("first_name"),
-        F.when(F.trim(c) != "", F.when(F.size(parts) == 2, parts[1]).otherwise(parts[0])).alias("last_name"),
+        F.when(F.size(parts) == 2, F.get(parts, F.lit(0))).alias("first_name"),
+        F.when(F.trim(c) != "", F.when(F.size(parts) == 2, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))).alias("last_name"),
     )
 
 
@@ -102,7 +102,7 @@ def postal_city(c: Column, unicode: bool = False) -> Column:
         return F.when(good, F.struct(postal.alias("postal"), city.alias("city")))
 
     found = F.array_distinct(F.array_compact(F.array(*map(pair, POSTAL_CITY))))
-    return F.when(F.size(found) == 1, found[0])
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 #: Countries by name and code, and the postal line of each group; the first group that lists a country decides.

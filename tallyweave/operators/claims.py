@@ -285,7 +285,7 @@ def address_parts(addresses: DataFrame, unicode: bool = False) -> DataFrame:
     """
     pairs = F.array_compact(F.concat(F.array(T.postal_city_in(F.col("zip"), F.col("country"), unicode), T.postal_city_in(F.col("city"), F.col("country"), unicode)), F.transform("lines", lambda t: T.postal_city_in(t, F.col("country"), unicode))))
     rows = addresses.withColumn("pairs", F.array_distinct(pairs))
-    one = F.col("pairs")[0]
+    one = F.get(F.col("pairs"), F.lit(0))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     fits = (blank("zip") | T.component_matches(F.col("zip"), one["postal"], one["city"], unicode)) & (blank("city") | T.component_matches(F.col("city"), one["city"], one["postal"], unicode))
     use = (F.size("pairs") == 1) & fits & ~(blank("zip") & blank("city"))
