@@ -7,8 +7,8 @@ is at least 0.8, and classes are the connected components of these links. Steps:
    registers each; a pair at the threshold shares no band with a chance of 5e-8.
 2. Texts with equal multisets are one node (their least id), whatever their number.
 3. Nodes that share a band are candidates. In each round every band that still holds nodes of different
-   components names pivots, one of a component; the band's nodes of other components are compared with
-   them, and the pivots leave the band. So in the end every candidate pair is linked by a path or was
+   components names pivots, from the smallest components; the band's nodes of other components are
+   compared with them, and the pivots leave the band. So in the end every candidate pair is linked by a path or was
    compared, no pair is written twice, and a band of near copies costs its pivot's comparisons. There is
    no cap.
 4. In bands of more than LARGE nodes, shingles that just one of the crowd has are counted first: no
@@ -32,7 +32,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 ROWS = 4
-LARGE = 256
+LARGE = 16
 #: Most ids that are broadcast: 8 bytes each, some 32 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 
@@ -48,7 +48,7 @@ def sketch(spark: SparkSession, docs: DataFrame) -> DataFrame:
         from .bagminhash import bands, signatures
         from .shingles import mixed, multisets
 
-        for ids, texts in _slices(batches, 1_500_000):
+        for ids, texts in _slices(batches, 700_000):
             hashes, counts, owner = multisets(texts, WIDTH)
             sums = []
             for salt in (1, 2):
@@ -73,11 +73,11 @@ def sketch(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 names=["doc_id", "k1", "k2", "n", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return docs.mapInArrow(common.lean(run), "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
 def _overlaps(spark: SparkSession, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; texts has (node, text)."""
+    """(a, b, shared, similar) of the pairs (a, b): how many shingles both texts have; texts has (node, text)."""
 
     def run(batches):
         import numpy as np
@@ -88,7 +88,7 @@ def _overlaps(spark: SparkSession, pairs: DataFrame, texts: DataFrame, similarit
         for batch in batches:
             left, right = batch.column("a"), batch.column("b")
             a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep = np.zeros(len(a), bool)
+            keep, common = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
             start, size = 0, 0
             for i in range(len(a)):
                 size += len(a[i]) + len(b[i])
@@ -103,13 +103,13 @@ def _overlaps(spark: SparkSession, pairs: DataFrame, texts: DataFrame, similarit
                         _, p, q = np.intersect1d(hashes[x], hashes[y], assume_unique=True, return_indices=True)
                         shared = int(np.minimum(counts[x][p], counts[y][q]).sum())
                         joint = int(total[k] + total[n + k]) - shared
-                        keep[start + k] = joint > 0 and shared >= similarity * joint
+                        keep[start + k], common[start + k] = joint > 0 and shared >= similarity * joint, shared
                     start, size = i + 1, 0
-            yield pa.record_batch([left, right], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.record_batch([left, right, pa.array(common), pa.array(keep)], names=["a", "b", "shared", "similar"])
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     second = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return second.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return second.select("a", "b", "text_a", "text_b").mapInArrow(common.lean(run), "a long, b long, shared long, similar boolean")
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -138,15 +138,21 @@ def _shared_counts(spark: SparkSession, texts: DataFrame) -> DataFrame:
             nodes = batch.column(0).to_numpy()
             yield pa.record_batch([pa.array(hashes[at].view(np.int64)), pa.array(met), pa.array(nodes[owner[at]]), pa.array(counts[at])], names=["shingle", "met", "node", "times"])
 
-    seen = texts.select("node", "text").mapInArrow(run, "shingle long, met long, node long, times long")
+    seen = texts.select("node", "text").mapInArrow(common.lean(run), "shingle long, met long, node long, times long")
     single = seen.groupBy("shingle").agg(F.sum("met").alias("met"), F.min(F.struct("node", "times")).alias("one")).filter("met = 1")
     return single.groupBy(F.col("one.node").alias("node")).agg(F.sum("one.times").alias("own"))
 
 
 def _may_match(a: str, b: str, similarity: float):
-    """Whether two texts can be similar enough, by their sizes and the shingles they can share."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(F.col(f"{a}.c"), F.col(f"{b}.c"), n, m)
+    """Whether two texts of a band can be similar enough.
+
+    They share at most c shingles each; and where both were compared with the band's first pivot, at most
+    the lesser part that each has of it, and the lesser part of what else they share with anyone.
+    """
+    n, m, c, d, o, p = (F.col(f"{t}.{x}") for x in "nco" for t in (a, b))
+    most = F.least(n, m, c, d)
+    rest = F.greatest(F.least(c - o, d - p), F.lit(0))
+    most = F.coalesce(F.least(most, F.least(o, p) + rest), most)
     return most >= (n + m - most) * similarity
 
 
@@ -164,7 +170,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     texts = picked.join(few(roots.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     texts = common.written(spark, texts.select(F.col("doc_id").alias("node"), "text"), "texts")
 
-    rows = rows.withColumn("c", F.col("n"))
+    rows = rows.withColumn("c", F.col("n")).withColumn("o", F.lit(None).cast("long"))
     crowd = common.written(spark, rows.filter(F.col("members") > large).select("node").distinct(), "crowd")
     if not crowd.isEmpty():
         own = common.written(spark, _shared_counts(spark, texts.join(few(crowd), "node", "left_semi")), "own")
@@ -180,24 +186,35 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         placed = common.written(spark, placed.join(split, "band"), "open")
         if placed.isEmpty():
             break
-        # pivots: of each component the text with the largest shared part; components with few members first
-        central = F.struct((-F.col("c") / F.col("n")).alias("by"), F.xxhash64("node").alias("at"), "node", "n", "c")
-        parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.min(central).alias("best"))
-        place = F.row_number().over(Window.partitionBy("band").orderBy("size", "best"))
-        pivots = parts.withColumn("place", place).filter(F.col("place") <= (1 if turn == 0 else 8 * 4 ** min(turn - 1, 4)))
-        pivots = common.written(spark, pivots.select("band", "root", "best.node", "best.n", "best.c"), "pivots")
-        met = placed.alias("x").join(pivots.alias("y"), "band").filter((F.col("x.root") != F.col("y.root")) & _may_match("x", "y", similarity))
+        # pivots: texts of components with few members first, and those with the largest shared parts
+        sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+        place = F.row_number().over(Window.partitionBy("band").orderBy("size", (-F.col("c") / F.col("n")), F.xxhash64("node"), "node"))
+        limit = 1 if turn == 0 else 8 * 4 ** min(turn - 1, 5)
+        pivots = placed.join(sizes, ["band", "root"]).withColumn("place", place).filter(F.col("place") <= limit)
+        pivots = common.written(spark, pivots.select("band", "root", "node", "n", "c", "o", *(["own"] if turn else [])), "pivots")
+        # all that could be near the first pivot by size are compared with it: what they share bounds what they share with each other
+        by_size = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity
+        # later, a pair is written in the least of its common bands only; it stays there until one of the two is a pivot
+        least_band = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("band")
+        wanted = by_size if turn == 0 else _may_match("x", "y", similarity) & least_band
+        met = placed.alias("x").join(pivots.alias("y"), "band").filter((F.col("x.root") != F.col("y.root")) & wanted)
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(spark, pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = common.written(spark, _overlaps(spark, pairs, texts, similarity), "found")
+        judged = common.written(spark, _overlaps(spark, pairs, texts, similarity), "judged")
+        found = judged.filter("similar")
         if not found.isEmpty():
             links = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b")
             merged = components.roots(spark, links.select(F.col("p").alias("a"), F.col("q").alias("b")))
             moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
             roots = common.written(spark, moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        if turn == 0:
+            first = pivots.select("band", F.col("node").alias("pivot"))
+            seen = placed.drop("o").join(first, "band").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
+            placed = seen.join(judged.select("a", "b", F.col("shared").alias("o")), ["a", "b"], "left").drop("a", "b", "pivot")
+            placed = placed.join(rows.groupBy("node").agg(F.collect_set("band").alias("own")), "node")
         # a pivot has met all of its band
         rows = placed.drop("root").join(pivots.select("band", "node"), ["band", "node"], "left_anti")
         turn += 1
