@@ -70,6 +70,8 @@ class Postings:
                     np.add(scores, spare, out=scores)
                 else:
                     scores[:, rows] += w[:, None] * values[None, :]
+            if kind is object:
+                scores = np.minimum(np.maximum(scores, -(1 << 63)), (1 << 63) - 1)
             twins = np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left")
             for i, q in enumerate(own.tolist()):
                 want = min(self.n, k + int(twins[i]))
@@ -79,7 +81,7 @@ class Postings:
                 # ids ascend, so a stable sort leaves ties to the smaller id
                 at = at[np.argsort(-row[at].astype(object if kind is object else np.int64), kind="stable")]
                 at = at[self.ids[at] != q][:k]
-                out += [(q, c, max(-(1 << 63), min((1 << 63) - 1, int(s)))) for c, s in zip(self.ids[at].tolist(), row[at].tolist(), strict=True)]
+                out += [(q, c, int(s)) for c, s in zip(self.ids[at].tolist(), row[at].tolist(), strict=True)]
         return out
 
 
