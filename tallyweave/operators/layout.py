@@ -235,26 +235,30 @@ def table_columns(headers: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def table_cells(spans: DataFrame, pages: DataFrame, unicode: bool = False) -> DataFrame:
-    """Cells of the item table of each page: doc_id, page, row, role, text, evidence_ids. Rows are anchored by SKU cells."""
+    """Cells of the item table of each page: doc_id, page, row, role, text, evidence_ids. Rows are anchored by SKU cells.
+
+    Columns and row anchors of a page are a few numbers each. They travel with its spans as arrays, so that
+    one exchange of the spans by page serves the whole inference and no span meets all rows and columns.
+    """
     columns = table_columns(header_groups(spans, unicode), pages)
-    tops = columns.select(*PAGE, "header_bottom").distinct()
-    placed = spans.withColumn("cx", center("x0", "x1")).withColumn("cy", center("y0", "y1"))
-    under = placed.join(tops, PAGE).filter(F.col("cy") > F.col("header_bottom"))
-    ends = under.filter(T.header_text(F.col("text"), unicode).isin(*TABLE_END)).groupBy(*PAGE).agg(F.floor(F.min("cy")).alias("end"))
-    bottoms = tops.join(ends, PAGE, "left").join(pages.select(*PAGE, "height"), PAGE).select(*PAGE, "header_bottom", F.coalesce("end", "height").alias("bottom"))
-    body = placed.join(bottoms, PAGE).filter((F.col("cy") > F.col("header_bottom")) & (F.col("cy") < F.col("bottom")))
-    sku = columns.filter("role = 'sku'").select(*PAGE, F.col("x0").alias("s0"), F.col("x1").alias("s1"), "header_id")
-    anchors = body.join(sku, PAGE).filter((F.col("cx") >= F.col("s0")) & (F.col("cx") < F.col("s1")) & (F.col("id") != F.col("header_id")))
-    down = Window.partitionBy(*PAGE).orderBy("cy", "reading_order")
-    rows = anchors.select(
-        *PAGE, (F.row_number().over(down) - 1).alias("row"),
-        F.coalesce(F.floor((F.lag("cy").over(down) + F.col("cy")) / 2), "header_bottom").alias("top"),
-        F.coalesce(F.floor((F.lead("cy").over(down) + F.col("cy")) / 2), "bottom").alias("low"),
-    )
-    own = placed.select(*PAGE, "id", "text", "x0", "y0", "cx", "cy", "reading_order")
-    in_row = own.join(rows, PAGE).filter((F.col("cy") > F.col("top")) & (F.col("cy") < F.col("low")))
-    bands = columns.select(*PAGE, "role", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    in_cell = in_row.join(bands, PAGE).filter((F.col("cx") >= F.col("b0")) & (F.col("cx") < F.col("b1")))
+    sku = F.max(F.when(F.col("role") == "sku", F.struct("x0", "x1", "header_id")))
+    shape = columns.groupBy(*PAGE).agg(F.collect_list(F.struct("role", "x0", "x1")).alias("columns"), sku.alias("sku"), F.max("header_bottom").alias("top"))
+    shape = shape.join(pages.select(*PAGE, "height"), PAGE)
+    whole = Window.partitionBy(*PAGE)
+    placed = spans.select(*PAGE, "id", "text", "x0", "y0", "reading_order", center("x0", "x1").alias("cx"), center("y0", "y1").alias("cy")).join(shape, PAGE)
+    under = F.col("cy") > F.col("top")
+    # a label has letters, which spares amounts the normalisation
+    label = F.col("text").rlike(r"\p{L}") & T.header_text(F.col("text"), unicode).isin(*TABLE_END)
+    placed = placed.withColumn("bottom", F.coalesce(F.floor(F.min(F.when(under & label, F.col("cy"))).over(whole)), "height"))
+    anchor = under & (F.col("cy") < F.col("bottom")) & (F.col("cx") >= F.col("sku.x0")) & (F.col("cx") < F.col("sku.x1")) & (F.col("id") != F.col("sku.header_id"))
+    anchors = F.transform(F.array_sort(F.collect_list(F.when(anchor, F.struct("cy", "reading_order"))).over(whole)), lambda x: x["cy"])
+    placed = placed.withColumn("anchors", anchors).filter(F.size("anchors") > 0)
+    at = lambda i: F.get("anchors", i)
+    middle = lambda i, j: F.floor((at(i) + at(j)) / 2)
+    inside = lambda i: (F.col("cy") > F.coalesce(middle(i - 1, i), "top")) & (F.col("cy") < F.coalesce(middle(i, i + 1), "bottom"))
+    row = F.get(F.filter(F.sequence(F.lit(0), F.size("anchors") - 1), inside), F.lit(0))
+    role = F.get(F.filter("columns", lambda c: (F.col("cx") >= c["x0"]) & (F.col("cx") < c["x1"])), F.lit(0))["role"]
+    in_cell = placed.select(*PAGE, row.alias("row"), role.alias("role"), "y0", "x0", "reading_order", "text", "id").filter("row IS NOT NULL AND role IS NOT NULL")
     ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "reading_order", "text", "id")))
     cells = in_cell.groupBy(*PAGE, "row", "role").agg(ordered.alias("c"))
     return cells.select(*PAGE, "row", "role", F.array_join(F.transform("c", lambda x: x["text"]), " ").alias("text"), F.transform("c", lambda x: x["id"]).alias("evidence_ids"))
