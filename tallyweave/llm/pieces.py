@@ -257,7 +257,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
                 names=["doc_id", "n_ids", "ids", "n_fallback", "decoded_sha256", "round_trip"],
             )
 
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(common.lean(run), SCHEMA)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

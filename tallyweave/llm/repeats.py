@@ -232,26 +232,26 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, coarse:
     long_rows = rows.filter(F.col("n_bytes") >= length)
     lone = long_rows.join(few(several), KEY, "left").filter("several IS NULL OR doc_id <=> least").select(*KEY, "text")
 
-    wide = common.written(spark, lone.mapInArrow(_coarse(length, coarse), "k1 long, k2 long, mark long, start int, n int, met int"), "coarse")
+    wide = common.written(spark, lone.mapInArrow(common.lean(_coarse(length, coarse)), "k1 long, k2 long, mark long, start int, n int, met int"), "coarse")
     again = wide.groupBy("mark").agg(F.sum("met").alias("met")).filter("met > 1").select("mark")
     segments = wide.drop("met").join(again, "mark").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("own"))
     segments = common.written(spark, segments, "segments")
     near = lone.join(few(segments.select(*KEY)), KEY, "left_semi").join(segments, KEY)
     near = common.written(spark, near.select(*KEY, "text", "own"), "near")
 
-    runs = common.written(spark, near.mapInArrow(_fine(length, fine), "k1 long, k2 long, mark long, form long, start int, n int"), "fine")
+    runs = common.written(spark, near.mapInArrow(common.lean(_fine(length, fine)), "k1 long, k2 long, mark long, form long, start int, n int"), "fine")
     forms = runs.groupBy("mark", "form").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct(*KEY, "start", "n")).alias("one"))
     forms = common.written(spark, forms, "forms")
     same = runs.join(forms.filter("met > 1").select("mark", "form"), ["mark", "form"]).select(*KEY, "start", "n")
     buckets = forms.groupBy("mark").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("mark")
     asked = forms.join(buckets, "mark").select("one.k1", "one.k2", F.struct("mark", "one.start", "one.n", (F.col("met") == 1).alias("lone")).alias("x"))
     asked = common.written(spark, asked.groupBy(*KEY).agg(F.collect_list("x").alias("own")), "asked")
-    pieces = near.drop("own").join(asked, KEY).select(*KEY, "text", "own").mapInArrow(_cut(length), "mark long, k1 long, k2 long, start int, n int, lone boolean, piece binary")
+    pieces = near.drop("own").join(asked, KEY).select(*KEY, "text", "own").mapInArrow(common.lean(_cut(length)), "mark long, k1 long, k2 long, start int, n int, lone boolean, piece binary")
     dealt = pieces.repartition("mark").sortWithinPartitions("mark")
-    found = dealt.mapInArrow(_sorted_blocks(length, block_bytes), "k1 long, k2 long, start int, n int")
+    found = dealt.mapInArrow(common.lean(_sorted_blocks(length, block_bytes)), "k1 long, k2 long, start int, n int")
     windows = same.unionByName(found).groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("own"))
     cut = near.drop("own").join(windows, KEY).select(*KEY, "text", "own")
-    cut = cut.mapInArrow(_remove(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    cut = cut.mapInArrow(common.lean(_remove(length)), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     cut = common.written(spark, cut.dropDuplicates(KEY), "removed")
 
     known = copies.select(*KEY, "copies").join(cut, KEY, "left")

@@ -94,7 +94,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rules=RULES, id_col: str
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(scan, SCHEMA)
+    return picked.mapInArrow(common.lean(scan), SCHEMA)
 
 
 def digest(spans, kinds: list[str] | None = None):

@@ -130,7 +130,7 @@ def _sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: i
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    return common.written(spark, picked.mapInArrow(count, "doc_id long, toxic int, terms array<string>, counts array<long>"), "toxicity-sample")
+    return common.written(spark, picked.mapInArrow(common.lean(count), "doc_id long, toxic int, terms array<string>, counts array<long>"), "toxicity-sample")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, min_rows: int = MIN_ROWS) -> Model:
@@ -165,7 +165,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    rows = sorted(sample.mapInArrow(encode, "doc_id long, toxic int, terms array<long>, counts array<long>").collect())
+    rows = sorted(sample.mapInArrow(common.lean(encode), "doc_id long, toxic int, terms array<long>, counts array<long>").collect())
     toxic = np.array([int(r.toxic > 0) for r in rows], int)
     if not rows or toxic.min() == toxic.max():
         return Model()
@@ -220,7 +220,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
                 names=["doc_id", "severity", "p_toxic", "grade", "toxic"],
             )
 
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(common.lean(run), SCHEMA)
 
 
 def _verdict(model: Model, text: str) -> tuple[float, float, int, int]:
@@ -242,7 +242,7 @@ def clean_rows(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             toxic = [_verdict(model, t.as_py() or "")[3] for t in batch.column(place)]
             yield batch.filter(pa.array([not t for t in toxic]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.lean(keep), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
