@@ -44,8 +44,9 @@ def decimals_in_text(c: Column) -> Column:
 
 def only_decimal(c: Column) -> Column:
     """The number of a text that holds exactly one."""
-    found = decimals_in_text(c)
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    # the list stands inside an array of one, so that it is worked out once
+    alone = F.filter(F.array(decimals_in_text(c)), lambda found: F.size(found) == 1)
+    return F.get(F.get(alone, F.lit(0)), F.lit(0))
 
 
 def loose_decimal(c: Column) -> Column:

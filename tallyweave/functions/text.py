@@ -102,7 +102,7 @@ def postal_city(c: Column, unicode: bool = False) -> Column:
         return F.when(good, F.struct(postal.alias("postal"), city.alias("city")))
 
     found = F.array_distinct(F.array_compact(F.array(*map(pair, POSTAL_CITY))))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return F.get(F.get(F.filter(F.array(found), lambda pairs: F.size(pairs) == 1), F.lit(0)), F.lit(0))
 
 
 #: Countries by name and code, and the postal line of each group; the first group that lists a country decides.

@@ -53,17 +53,14 @@ SECTION_ENDS = ("items", "order items", "payment", "payment details", "totals",
 
 
 def one_of(c: Column, labels: dict[str, tuple[str, ...]]) -> Column:
-    """The key whose labels hold the text, else null."""
-    out = None
-    for key, names in labels.items():
-        out = F.when(c.isin(*names), key) if out is None else out.when(c.isin(*names), key)
-    return out
+    """The key whose labels hold the text, else null. The text, often a chain of replacements, is worked out once."""
+    pairs = [F.lit(x) for key, names in labels.items() for name in names for x in (name, key)]
+    return F.try_element_at(F.create_map(*pairs), c)
 
 
 def header_role(text: Column, unicode: bool = False) -> Column:
     t = T.header_text(text, unicode)
-    wide = t.contains("unit") & (t.contains("net") | t.contains("price"))
-    return F.coalesce(one_of(t, HEADER_ROLES), F.when(wide, "unit_net_price"))
+    return F.coalesce(one_of(t, HEADER_ROLES), F.when(t.rlike("^(?=.*unit).*(?:net|price)"), "unit_net_price"))
 
 
 def center(a: str, b: str) -> Column:
