@@ -36,7 +36,8 @@ class ChunkEncoder:
     last character to the word behind it and is a token of its own otherwise, and a run of letters ends
     where another character follows. So chunks are encoded once per worker and their ids put together;
     a full cache loses its older half. Texts with U+001C..U+001F, which only one side counts as white
-    space, are encoded whole.
+    space, are encoded whole; so are texts with an added token, which splits them before the
+    pre-tokenizer and leaves a run of white space in front of it together.
     """
 
     LIMIT = 1_000_000
@@ -51,6 +52,7 @@ class ChunkEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = sorted(set(special.values()))
         self.n_bytes = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(special[i].encode()) if i in special else len(token)
@@ -79,7 +81,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned integers."""
-        whole = [bool(_ODD_SPACE.search(t)) for t in texts]
+        whole = [bool(_ODD_SPACE.search(t)) or any(c in t for c in self.added) for t in texts]
         chunks = [[] if odd else _CHUNK.findall(t) for t, odd in zip(texts, whole, strict=True)]
         seen = set().union(*chunks) if chunks else set()
         if len(self.cache) + len(seen) > self.LIMIT:
