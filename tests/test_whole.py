@@ -1,0 +1,17 @@
+"""Queries over all of their input: nothing is left out by an id or by what a text looks like."""
+
+import duckdb
+
+from tallyweave.plans import streams
+from tallyweave.sources import tables as S
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_order_json_has_every_order(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    totals = "SELECT doc_id, CAST(sum(net) AS DECIMAL(18,2)), CAST(sum(line_vat) AS DECIMAL(18,2)), CAST(sum(net) + sum(line_vat) AS DECIMAL(18,2)), count(*) FROM lines GROUP BY doc_id"
+    want = sorted(con.execute(S.oracle(totals, "lines")).fetchall())
+    rows = streams.q_order_json(spark, SF).select("doc_id", "total_net", "total_vat", "total_gross", "n_items").collect()
+    assert sorted(map(tuple, rows)) == want and want[-1][0] >= 200
