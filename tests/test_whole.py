@@ -1,8 +1,11 @@
 """Queries over all of their input: nothing is left out by an id or by what a text looks like."""
 
+import json
+from collections import defaultdict
+
 import duckdb
 
-from tallyweave.plans import streams
+from tallyweave.plans import extras, streams
 from tallyweave.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +18,11 @@ def test_order_json_has_every_order(spark):
     want = sorted(con.execute(S.oracle(totals, "lines")).fetchall())
     rows = streams.q_order_json(spark, SF).select("doc_id", "total_net", "total_vat", "total_gross", "n_items").collect()
     assert sorted(map(tuple, rows)) == want and want[-1][0] >= 200
+
+
+def test_prompt_payload_has_every_span(spark):
+    want = defaultdict(list)
+    for r in S.spans(spark, SF).orderBy("doc_id", "reading_order").collect():
+        want[r.doc_id].append([r.id, r.text, round(0.5 + r.reading_order % 50 / 100, 3), [r.x0, r.y0, r.x1, r.y1], r.page])
+    got = {r.doc_id: json.loads(r.payload)["spans"] for r in extras.q_prompt_payload(spark, SF).collect()}
+    assert got == {i: rows if i % 2 == 0 else [x[:4] for x in rows] for i, rows in want.items()}
