@@ -19,15 +19,17 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id."""
-    return neardup.one_of_each(spark, docs)
+    """One document of each near-duplicate class: the one with the least id, null ids last. Rows that share an id are told apart by text."""
+    return neardup.one_of_each(spark, docs, null_ids=True)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontam.leaks(spark, docs, common.table(spark, sf_dir, "benchmark"))
-    leaked = common.written(spark, leaks.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "leaked")
-    return docs.join(neardup.few(leaked), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, decided row by row: ids may be null or shared."""
+    leaks = decontam.row_leaks(spark, docs, common.table(spark, sf_dir, "benchmark"))
+    leaked = common.written(spark, leaks.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct(), "leaked")
+    keyed = docs.withColumn("__key", decontam.text_key())
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
+    return keyed.join(neardup.few(leaked), own, "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,8 +43,13 @@ def _starts(own: Column) -> Column:
     return F.explode(F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>")))
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity (best window), matched (equal words of the item), start (word of the document)."""
+def text_key(text: str = "text") -> Column:
+    """What tells rows of one id apart: the hash of the text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def row_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, row (text_key), item_id, offset, matched and similarity of every alignment that counts; rows are told apart by id and text."""
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item"))
         .filter(F.col("item_id").isNotNull() & (F.size("item") >= MIN_WORDS))
@@ -56,28 +61,33 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     )
     seeds = common.written(spark, seeds, "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("own"))
-    placed = placed.select("doc_id", "own", _starts(F.col("own")).alias("i"))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("row"), words(F.col("text")).alias("own"))
+    placed = placed.select("doc_id", "row", "own", _starts(F.col("own")).alias("i"))
     # what goes to the verification is the stretch of the document that the item would cover
-    hashed = placed.select("doc_id", "own", "i", F.explode(_seeds(F.col("own"), F.col("i"))).alias("seed"))
+    hashed = placed.select("doc_id", "row", "own", "i", F.explode(_seeds(F.col("own"), F.col("i"))).alias("seed"))
     hits = hashed.join(F.broadcast(seeds) if small else seeds.hint("shuffle_hash"), "seed")
     offset = F.col("i") - F.col("j")
     aligned = (
-        hits.select("doc_id", "item_id", offset.alias("offset"), F.slice("own", F.greatest(offset, F.lit(0)) + 1, F.col("n")).alias("stretch"))
-        .groupBy("doc_id", "item_id", "offset")
+        hits.select("doc_id", "row", "item_id", offset.alias("offset"), F.slice("own", F.greatest(offset, F.lit(0)) + 1, F.col("n")).alias("stretch"))
+        .groupBy("doc_id", "row", "item_id", "offset")
         .agg(F.first("stretch").alias("stretch"))
     )
     both = aligned.join(F.broadcast(items) if small else items, "item_id")
     shift = F.greatest(-F.col("offset"), F.lit(0))
     equal = F.transform("item", lambda w, p: F.when((p >= shift) & F.coalesce(F.get("stretch", p - shift) == w, F.lit(False)), 1).otherwise(0))
     width = F.least(F.size("item"), F.lit(window))
-    compared = both.select("doc_id", "item_id", "offset", equal.alias("equal"), width.alias("width"))
+    compared = both.select("doc_id", "row", "item_id", "offset", equal.alias("equal"), width.alias("width"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1), lambda s: total(F.slice("equal", s, F.col("width")))))
     judged = compared.filter(total(F.col("equal")) >= F.col("width") * similarity).select(
-        "doc_id", "item_id", "offset", total(F.col("equal")).alias("matched"), (best / F.col("width")).alias("similarity")
+        "doc_id", "row", "item_id", "offset", total(F.col("equal")).alias("matched"), (best / F.col("width")).alias("similarity")
     )
-    kept = judged.filter(F.col("similarity") >= similarity)
+    return judged.filter(F.col("similarity") >= similarity)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, similarity (best window), matched (equal words of the item), start (word of the document)."""
+    kept = row_leaks(spark, docs, benchmark, window, similarity)
     top = F.max(F.struct("similarity", "matched", (-F.col("offset")).alias("place")))
     return kept.groupBy("doc_id", "item_id").agg(top.alias("top")).select(
         "doc_id", "item_id", "top.similarity", "top.matched", F.greatest(-F.col("top.place"), F.lit(0)).alias("start")

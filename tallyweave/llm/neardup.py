@@ -224,17 +224,29 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class has a lesser id; of rows that share a kept id one text stays. All columns are kept."""
-    found = common.written(spark, classes(spark, docs), "classes")
-    gone = common.written(spark, found.filter("class_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(few(gone), "doc_id", "left_anti")
-    repeated = common.written(spark, found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+def one_of_each(spark: SparkSession, docs: DataFrame, null_ids: bool = False) -> DataFrame:
+    """docs with one row of each class: the one with the least id and, of several texts of that id, the least hash.
+
+    Rows are told apart by id and text, and of rows equal in both one stays. Rows with null ids all stay,
+    or take part behind all others if null_ids is set; those without words stay. All columns are kept.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", F.xxhash64("__id", text))
+    worded = text.rlike(r"[0-9A-Za-z_]|[^\x00-\x7f]")
+    part = keyed.filter(F.col("__id").isNotNull() | (worded if null_ids else F.lit(False)))
+    found = common.written(spark, classes(spark, part, id_col="__row").withColumnRenamed("doc_id", "__row"), "classes")
+    several = common.written(spark, found.filter("class_size > 1").select("__row", "class_id").distinct(), "several")
+    members = common.written(spark, part.select("__row", "__id").distinct().join(few(several), "__row"), "members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__row")).alias("first"))
+    first = common.written(spark, first.select("class_id", F.col("first.__row").alias("first")), "first")
+    gone = common.written(spark, members.join(few(first), "class_id").filter("__row <> first").select("__row").distinct(), "gone")
+    kept = keyed.join(few(gone), "__row", "left_anti")
+    repeated = common.written(spark, found.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__row"), "repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     again = few(repeated)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.join(again, "__row", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

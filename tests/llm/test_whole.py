@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tallyweave.llm import common, tokenids
 
 VOCAB = common.tokenizer_file("byte_bpe_50k.json")
@@ -25,3 +26,29 @@ def test_token_files_with_an_added_token(spark):
     tokenids.write_token_files(spark, docs, out, VOCAB)
     crc = lambda *ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert sorted(map(tuple, tokenids.read_token_files(spark, out).collect())) == [(0, 0, 5, crc(64, 628, 50256, 65, 2)), (1, 5, 2, crc(66, 2))]
+
+
+# pipeline --------------------------------------------------------- rows with null or shared ids
+BASE = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"other{i}" for i in range(60))
+
+
+def test_near_duplicates_by_row(spark):
+    rows = [(None, BASE), (None, BASE + " end"), (None, OTHER), (None, ""), (None, ""), (5, "one text of five"), (5, "quite another text of the same five"), (5, "one text of five"), (7, OTHER + " z"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert len([t for i, t in kept if t.startswith("word0 ")]) == 1
+    assert [(i, t) for i, t in kept if t.startswith("other0 ")] == [(7, OTHER + " z")]
+    assert sorted(t for i, t in kept if i == 5) == ["one text of five", "quite another text of the same five"]
+    assert sorted(str(i) for i, t in kept if t == "") == ["8", "None", "None"]
+
+
+def test_leaks_by_row(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # the same five words of the item at the same place, but nothing else of it
+    failing = [" ".join(f"item{i}" if i < 8 else f"no{k}x{i}" for i in range(20)) for k in range(8)]
+    rows = [(i, t) for i in (None, 3) for t in [*failing, item, "clean text here"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    kept = sorted(tuple(r) for r in corpus_pipeline.keep_unleaked(spark, docs, str(tmp_path)).fillna(-1).collect())
+    assert kept == sorted((-1 if i is None else i, t) for i, t in rows if t != item)
