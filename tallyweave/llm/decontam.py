@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ("111011", "1101011", "1011101", "11001011")
+#: The last one is for ten words of which the sixth and seventh are replaced.
+MASKS = ("111011", "1101011", "1011101", "11001011", "11100111")
 SPAN = min(map(len, MASKS))
 MIN_WORDS = max(map(len, MASKS))
 WINDOW = 20

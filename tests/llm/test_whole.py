@@ -1,12 +1,13 @@
 """Corpus operators on the rows that a cut would lose."""
 
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyweave.llm import common, tokenids
+from tallyweave.llm import common, decontam, tokenids
 
 VOCAB = common.tokenizer_file("byte_bpe_50k.json")
 
@@ -28,6 +29,22 @@ def test_token_files_with_an_added_token(spark):
     assert sorted(map(tuple, tokenids.read_token_files(spark, out).collect())) == [(0, 0, 5, crc(64, 628, 50256, 65, 2)), (1, 5, 2, crc(66, 2))]
 
 
+# 5 ---------------------------------------------------------------- decontamination
+@pytest.mark.parametrize("n", range(8, 21))
+def test_every_substitution_pattern_leaves_a_seed(n):
+    gone = lambda places: not any(all(j + i not in places for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for j in range(n - len(m) + 1))
+    assert [p for p in combinations(range(n), n - -(-n * 4 // 5)) if gone(set(p))] == []
+
+
+def test_every_leak_of_ten_words(spark):
+    item = [f"item{i}" for i in range(10)]
+    pairs = list(combinations(range(10), 2))
+    texts = ["before it " + " ".join(f"x{i}" if i in p else w for i, w in enumerate(item)) + " and after" for p in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.leaks(spark, docs, bench).collect()) == list(range(len(pairs)))
+
+
 # pipeline --------------------------------------------------------- rows with null or shared ids
 BASE = " ".join(f"word{i}" for i in range(60))
 OTHER = " ".join(f"other{i}" for i in range(60))
