@@ -105,11 +105,16 @@ def created(wanted: DataFrame, existing: DataFrame, key: str, prefix: str) -> Da
     return placed.join(F.broadcast(offsets), "bucket").join(F.broadcast(total)).select(F.concat(F.lit(f"{prefix}-"), number.cast("string")).alias("record_id"), key)
 
 
+#: Most queries of a substring search that are broadcast.
+COPIED = 1_000
+
+
 def substring_search(queries: DataFrame, master: DataFrame, fields: list[str]) -> DataFrame:
-    """Records whose joined text contains the query, case-blind. queries has (query), at most a screenful: it is the side that is copied."""
+    """Records whose joined text contains the query, case-blind. queries has (query); up to COPIED of them are copied to the records, more meet them block by block. None is left out."""
     text = F.lower(F.concat_ws(" ", *fields))
-    asked = queries.select("query").distinct().limit(1_000)
-    return master.withColumn("__text", text).join(F.broadcast(asked), F.expr("contains(__text, lower(trim(query)))")).drop("__text")
+    asked = queries.select("query").distinct()
+    asked = F.broadcast(asked) if asked.limit(COPIED + 1).count() <= COPIED else asked.hint("shuffle_replicate_nl")
+    return master.withColumn("__text", text).join(asked, F.expr("contains(__text, lower(trim(query)))")).drop("__text")
 
 
 def scored_search(query: Column, master: DataFrame, unicode: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 
+from tallyweave.operators import resolve
 from tallyweave.plans import extras, streams
 from tallyweave.sources import tables as S
 
@@ -26,3 +27,10 @@ def test_prompt_payload_has_every_span(spark):
         want[r.doc_id].append([r.id, r.text, round(0.5 + r.reading_order % 50 / 100, 3), [r.x0, r.y0, r.x1, r.y1], r.page])
     got = {r.doc_id: json.loads(r.payload)["spans"] for r in extras.q_prompt_payload(spark, SF).collect()}
     assert got == {i: rows if i % 2 == 0 else [x[:4] for x in rows] for i, rows in want.items()}
+
+
+def test_substring_search_asks_every_query(spark):
+    master = spark.createDataFrame([(k, f"Name <{k}>") for k in range(1500)], "id long, name string")
+    queries = spark.createDataFrame([(f" NAME <{k}>",) for k in range(1500)] + [("nobody",)], "query string")
+    found = resolve.substring_search(queries, master, ["name"]).select("query", "id").collect()
+    assert sorted((r.id, r.query) for r in found) == [(k, f" NAME <{k}>") for k in range(1500)]
