@@ -2,8 +2,8 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight per term is shared by all ordered thresholds, and a
 text's score is its expected grade, 0 to 3. Features are the distinct words of the whole text. The fit
-uses at most MAX_ROWS labelled rows, those with the smallest hashes of their ids, and at most MAX_TERMS
-terms in at least MIN_ROWS of them; an L1 penalty leaves the weights of a few terms. Everything is in
+uses at most MAX_ROWS labelled rows, those with the smallest hashes of their ids, and all terms in at
+least MIN_ROWS of them; an L1 penalty leaves the weights of a few terms. Everything is in
 id order, so that a table gives one model.
 
 Labels say only 0 or 1. Grades of toxic rows follow from how much of a text is made of terms that the
@@ -27,7 +27,6 @@ from . import common
 from .tokenids import _slices
 
 MAX_ROWS = 8_000
-MAX_TERMS = 20_000
 MIN_ROWS = 3
 ODDS = 20.0
 _WORD = re.compile(r"\w+")
@@ -133,7 +132,7 @@ def _sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: i
     return common.written(spark, picked.mapInArrow(common.lean(count), "doc_id long, toxic int, terms array<string>, counts array<long>"), "toxicity-sample")
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, min_rows: int = MIN_ROWS) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_rows: int = MIN_ROWS) -> Model:
     """The model of the labelled rows of docs."""
     import numpy as np
 
@@ -145,7 +144,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
         .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
         .filter(F.col("n") >= min_rows)
         .orderBy(F.desc("n"), "term")
-        .limit(max_terms)
         .collect()
     )
     vocabulary = {r.term: i for i, r in enumerate(stats)}

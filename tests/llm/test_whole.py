@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyweave.llm import common, decontam, tokenids
+from tallyweave.llm import common, decontam, tokenids, toxicity
 
 VOCAB = common.tokenizer_file("byte_bpe_50k.json")
 
@@ -45,6 +45,15 @@ def test_every_leak_of_ten_words(spark):
     assert sorted(r.doc_id for r in decontam.leaks(spark, docs, bench).collect()) == list(range(len(pairs)))
 
 
+# 3 ---------------------------------------------------------------- toxicity
+def test_rare_telling_term_behind_many_frequent_ones(spark):
+    # 21,000 terms in every row, and one in the 4 toxic rows only
+    common_terms = " ".join(f"t{k}" for k in range(21_000))
+    docs = spark.createDataFrame([(i, common_terms + (" vile" if i < 4 else "")) for i in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(10)], "doc_id long, toxic int")
+    assert toxicity.fit(spark, docs, labels).weights.get("vile", 0) > 0
+
+
 # pipeline --------------------------------------------------------- rows with null or shared ids
 BASE = " ".join(f"word{i}" for i in range(60))
 OTHER = " ".join(f"other{i}" for i in range(60))
