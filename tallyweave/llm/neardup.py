@@ -16,8 +16,9 @@ is at least 0.8, and classes are the connected components of these links. Steps:
 5. A comparison counts the shingles of both whole texts.
 
 Texts without words have no shingles and are in no class but their own. Null ids get a null class. Rows
-that share an id count as one document that has the links of each of its texts. An empty table gives an
-empty result. Only id and text are read.
+that share an id count as one document that has the links of each of its texts; where such texts differ,
+classes are found for the texts and joined by their ids. An empty table gives an empty result. Only id and
+text are read.
 """
 
 from __future__ import annotations
@@ -160,6 +161,9 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     """(doc_id, class_id, class_size) for every row of docs; class_id is the least id of the class."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketches = common.written(spark, sketch(spark, picked), "sketches")
+    forms = sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high"))
+    if not forms.filter("NOT (low <=> high)").isEmpty():
+        return _classes_of_ids(spark, picked, similarity, large)
     nodes = sketches.filter("doc_id IS NOT NULL AND k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = common.written(spark, nodes, "nodes")
     keyed = sketches.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
@@ -224,6 +228,21 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
 
 
+def _classes_of_ids(spark: SparkSession, picked: DataFrame, similarity: float, large: int) -> DataFrame:
+    """What classes() gives where texts that share an id differ: nodes are texts, and all texts of an id are in one class."""
+    keyed = picked.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    found = classes(spark, keyed.select("row", "text").distinct(), similarity, large, "row").select(F.col("doc_id").alias("row"), "class_id")
+    placed = common.written(spark, keyed.select("doc_id", "row").distinct().join(found, "row").select("doc_id", "class_id").distinct(), "placed")
+    links = placed.join(placed.groupBy("doc_id").agg(F.min("class_id").alias("a")), "doc_id").select("a", F.col("class_id").alias("b"))
+    joined = components.roots(spark, links).select(F.col("node").alias("class_id"), "root")
+    placed = placed.join(joined, "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("root")).distinct()
+    placed = common.written(spark, placed, "placed")
+    named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
+    out = picked.select("doc_id").join(named, "doc_id", "left")
+    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, null_ids: bool = False) -> DataFrame:
     """docs with one row of each class: the one with the least id and, of several texts of that id, the least hash.
 

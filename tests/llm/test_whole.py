@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyweave.llm import common, decontam, tokenids, toxicity
+from tallyweave.llm import common, decontam, neardup, tokenids, toxicity
 
 VOCAB = common.tokenizer_file("byte_bpe_50k.json")
 
@@ -78,3 +78,14 @@ def test_leaks_by_row(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     kept = sorted(tuple(r) for r in corpus_pipeline.keep_unleaked(spark, docs, str(tmp_path)).fillna(-1).collect())
     assert kept == sorted((-1 if i is None else i, t) for i, t in rows if t != item)
+
+
+# 10 --------------------------------------------------------------- near duplicates
+def test_classes_of_an_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(100)]
+    crowd = [(k, " ".join([*words[:99], f"last{k}"])) for k in range(12)]
+    # another text of id 3 that nobody else has, longer than the one in the crowd
+    rows = [*crowd, (3, " ".join(f"own{i}" for i in range(200))), (50, " ".join(f"far{i}" for i in range(200))), (None, crowd[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.class_size) for r in neardup.classes(spark, docs, large=3).collect())
+    assert got == sorted([(-1, None, None), (50, 50, 1), *((i, 0, 13) for i, _ in crowd), (3, 0, 13)])
