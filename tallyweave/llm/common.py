@@ -10,7 +10,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -56,17 +55,26 @@ def lean(run):
     return wrapped
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, qualified path) as Spark's own readers see a path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(where)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests, local runs)."""
+    """The folder named in spark.checkpoint.dir, with its scheme; one of our own only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return _hadoop(spark, named)[1].toString().rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -83,9 +91,27 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a work folder through Spark's file system layer."""
-    jvm = SparkContext._active_spark_context._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _hadoop(spark, path)
+    system.delete(where, True)
+
+
+class Scratch:
+    """Work tables that end with the block they serve; what outlives it is written outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, work_path(spark, "scratch"), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n:04d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str):

@@ -44,7 +44,8 @@ def _next(factor):
 
 def word_hashes(texts: list[str]):
     """(hash of each word, index of its text), in order."""
-    raw = np.frombuffer(b" " + b" ".join(t.lower().encode("utf-8", "surrogatepass") for t in texts) + b" ", np.uint8)
+    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     inside = _IS_WORD[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
@@ -52,7 +53,7 @@ def word_hashes(texts: list[str]):
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    limits = np.cumsum([1] + [len(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in texts])
+    limits = np.cumsum([1] + [len(p) + 1 for p in parts])
     return hashes, np.searchsorted(limits, starts, "right") - 1
 
 

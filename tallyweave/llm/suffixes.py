@@ -49,8 +49,11 @@ def _ranks(words, at, v: int):
     return out
 
 
-def repeated(text, starts, cover: Cover):
-    """Which of the starts have the same `length` bytes as another of them. Each start has that many bytes left."""
+def repeated(text, starts, cover: Cover, owner=None):
+    """Which of the starts have the same `length` bytes as another of them. Each start has that many bytes left.
+
+    With owners (integers; negative ones stand for several), only starts count that another owner has too.
+    """
     n, v, length = len(text), cover.v, cover.length
     hit = np.zeros(len(starts), bool)
     if len(starts) < 2:
@@ -93,8 +96,15 @@ def repeated(text, starts, cover: Cover):
         far = np.flatnonzero(more > 0)
         same[far] &= rank[place[pivot[far] + d[far] + more[far]]] == rank[place[here[far] + d[far] + more[far]]]
         which = np.cumsum(head) - 1
-        size = np.bincount(which[same], minlength=which[-1] + 1)
-        hit[order[left[same & (size[which] > 1)]]] = True
+        if owner is None:
+            met = np.bincount(which[same], minlength=which[-1] + 1) > 1
+        else:
+            own_of = owner[order[left[same]]]
+            low, high = np.full(which[-1] + 1, np.iinfo(np.int64).max), np.full(which[-1] + 1, np.iinfo(np.int64).min)
+            np.minimum.at(low, which[same], own_of)
+            np.maximum.at(high, which[same], own_of)
+            met = (low != high) | (low < 0)
+        hit[order[left[same & met[which]]]] = True
         rest = left[~same]
         counts = np.bincount(bucket[rest], minlength=len(alone))
         left = rest[counts[bucket[rest]] > 1]

@@ -225,7 +225,42 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats(spark):
+def brute_passages(texts, length):
+    """(stretches, words in them) of strings of words that another row has too."""
+    words = [re.findall("[0-9a-z_\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
+    rows = defaultdict(set)
+    for i, w in enumerate(words):
+        for s in range(len(w) - length + 1):
+            rows[tuple(w[s : s + length])].add(i)
+    out = []
+    for w in words:
+        cover = np.zeros(len(w), bool)
+        for s in range(len(w) - length + 1):
+            if len(rows[tuple(w[s : s + length])]) > 1:
+                cover[s : s + length] = True
+        out.append((int(np.count_nonzero(np.diff(np.concatenate([[0], cover.view(np.int8)])) == 1)), int(cover.sum())))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_passages(spark, hot):
+    r = random.Random(80)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randrange(1, 4)))
+    shared = [[word() for _ in range(n)] for n in (14, 30, 60)]
+    line = " ".join(word() for _ in range(7))
+    texts = [None, "", "x " * 12, "y " * 11, "y " * 11, line + " " + " ".join([line] * 4), " ".join(shared[1]), " ".join(shared[1])]
+    for k in range(60):
+        w = list(shared[k % 3])
+        for p in r.sample(range(len(w)), r.randrange(3)):
+            w[p] = word()
+        a = r.randrange(8)
+        texts.append(" ".join([word() for _ in range(r.randrange(20))] + w[a:] + (w[a:] if k % 5 == 0 else []) + [word() for _ in range(9)]).capitalize() + ".")
+    rows = repeats.repeats(spark, frame(spark, texts), passage=12, word_marks=(4, 9), block_bytes=900, hot=hot).orderBy("doc_id").collect()
+    assert [(x.n_passages, x.passage_words) for x in rows] == brute_passages(texts, 12)
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_repeats(spark, hot):
     r = random.Random(8)
     noise = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
     shared, line = noise(150), noise(45)
@@ -235,7 +270,7 @@ def test_repeats(spark):
         for p in r.sample(range(150), r.randrange(4)):
             t[p] = "#"
         texts.append(noise(r.randrange(60)) + "".join(t)[r.randrange(30) :] + (line if r.random() < 0.3 else "") + noise(r.randrange(60)))
-    rows = repeats.repeats(spark, frame(spark, texts), length=40, coarse=8, fine=30, block_bytes=900).orderBy("doc_id").collect()
+    rows = repeats.repeats(spark, frame(spark, texts), length=40, coarse=8, fine=30, block_bytes=900, hot=hot).orderBy("doc_id").collect()
     assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows] == brute_repeats(texts, 40)
     assert repeats.repeats(spark, empty(spark)).count() == 0
 
