@@ -136,24 +136,45 @@ def test_topk(spark):
 
 
 # 5 ---------------------------------------------------------------- decontamination
-def test_leaks(spark):
+def brute_leaks(texts, items):
+    split = lambda t: re.findall("[^\\W_]+", (t or "").lower())
+    out = {}
+    for i, t in texts:
+        d = split(t)
+        for k, item in items:
+            w = split(item)
+            width = min(20, len(w))
+            for o in range(1 - len(w), len(d) if w and k is not None else 0):
+                equal = [0 <= o + p < len(d) and d[o + p] == x for p, x in enumerate(w)]
+                best = max(sum(equal[s : s + width]) for s in range(len(w) - width + 1))
+                if best >= 0.8 * width:
+                    out[i, k] = max(out.get((i, k), 0), best / width)
+    return out
+
+
+@pytest.mark.parametrize("seeds", [0, 200_000])
+def test_leaks(spark, seeds):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
-    items = [[word() for _ in range(r.randrange(12, 60))] for _ in range(30)]
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(90, None), (91, "too short"), (None, "x " * 20)], "item_id long, text string")
-    texts, want = [], set()
-    for k in range(150):
-        i = r.randrange(30)
+    items = [[word() for _ in range(n)] for n in (*range(1, 25), 30, 45, 60)]
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(90, None), (91, ""), (None, "x " * 20), (92, "ee")]
+    texts = []
+    for k in range(220):
+        i = r.randrange(len(items))
         w = list(items[i])
-        for p in r.sample(range(len(w)), int(len(w) * 0.18)):
+        for p in r.sample(range(len(w)), int(len(w) * r.choice((0.1, 0.2, 0.2, 0.3)))):
             w[p] = word()
-        texts.append(" ".join([word() for _ in range(r.randrange(40))] + (w if k % 3 else []) + [word() for _ in range(30)]).title() + "!")
-        want |= {(k, i)} if k % 3 else set()
-    got = {(x.doc_id, x.item_id) for x in decontam.leaks(spark, frame(spark, texts), bench).collect()}
-    assert len(want - got) <= 2 and not got - want
-    assert decontam.leaks(spark, frame(spark, ODD), bench).count() == 0
-    assert decontam.leaks(spark, empty(spark), bench).count() == 0
-    assert decontam.leaks(spark, frame(spark, texts), bench.filter("false")).count() == 0
+        w = w[r.randrange(2) : len(w) - r.randrange(2)]
+        texts.append((k % 200 if k else None, " ".join([word() for _ in range(r.randrange(9))] + w + [word() for _ in range(r.randrange(9))]).title() + "!"))
+    texts += [(1000 + k, t) for k, t in enumerate(ODD)] + texts[:3]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in texts], "doc_id long, text string, seed long, own string")
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.leaks(spark, docs, table, broadcast_seeds=seeds).collect()}
+    want = brute_leaks(texts, bench)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert decontam.leaks(spark, docs, table, min_words=25, broadcast_seeds=seeds).filter("item_id < 24").count() == 0
+    assert decontam.leaks(spark, empty(spark), table).count() == 0
+    assert decontam.leaks(spark, docs, table.filter("false")).count() == 0
 
 
 # 6 ---------------------------------------------------------------- personal data
