@@ -7,20 +7,25 @@ gets format and context features; gradient-boosted trees, here nested conditions
 it; it is kept if its score reaches its kind's calibrated threshold and it overlaps no base span and no
 better proposal.
 
-The trees are fitted in the driver on EXAMPLES labelled sentences made from templates, the same at every
-size and for any table; three rows in four train, the fourth sets each kind's threshold at the least
-score from which at least PRECISION of the proposals are right.
+The trees are fitted in the driver on EXAMPLES labelled spans: SAMPLE passages of the table's documents
+(one for each bucket of text hashes, so the bound holds at every size), into which personal data and
+look-alikes are written between words. A proposal that overlaps what was written has its label, what the
+documents themselves hold besides base spans counts as wrong. Passages of three buckets in four train;
+those of the fourth, held-out documents, set each kind's threshold at the least score from which at
+least PRECISION of the proposals are right.
 
 Positions are code points, ends exclusive. Null texts count as empty; rows may repeat; an empty table
-gives an empty result; only the id and text columns are read. Expressions match in linear time: a run of
-characters is tried from its start or from the end of the last match, not from each character.
+gives an empty result; only the id and text columns are read, whatever the others are called. Work is in
+proportion to a text's length and matches: expressions match in linear time, places and overlaps come
+from block-wise prefix scans, and long texts are cut into chunks before anything is taken out of them.
 """
 
 from __future__ import annotations
 
+import json
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +34,13 @@ from . import common
 from .boosting import Boosted
 
 EXAMPLES = 2_400
+SAMPLE = 256
+#: Characters of a passage.
+PASSAGE = 300
 PRECISION = 0.98
+BLOCK = 64
+CHUNK = 2_048
+LATE = 2**31 - 1
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
@@ -76,23 +87,68 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(values: Column, step: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each place of an array of ints what step makes of all values before it: within its block, on top of the blocks before."""
+    first = F.lit(start)
+
+    def with_bases(bases: Column) -> Column:
+        return F.transform(values, lambda v, i: F.aggregate(F.slice(values, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.get(bases, F.floor(i / BLOCK).cast("int")), step))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), first, step))
+    bases = F.aggregate(blocks, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    return F.when(F.size(values) > 0, _let(bases, with_bases)).otherwise(values)
+
+
+def _plus(x: Column, y: Column) -> Column:
+    return x + y
+
+
+def _most(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def _least(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+
+def _taken(chunks: Column, a: Column, b: Column) -> Column:
+    """The characters from a to b, b exclusive, of a text in chunks."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    across = F.concat(F.substring(at(i), a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), b % CHUNK))
+    return F.when(i == j, F.substring(at(i), a % CHUNK + 1, b - a)).otherwise(across)
+
+
 def proposals(text: Column, generator: Generator) -> Column:
     """Leftmost non-overlapping matches that hold, with their places: what lies between matches gives the starts."""
     rank = KINDS.index(generator.kind)
-    none = F.array().cast(SPAN)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(generator.kind).alias("kind"), x["match"].alias("match"))
-        kept = F.when(x["match"].isNotNull() & _valid(generator.kind, x["match"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, start).alias("at"), kept.alias("out"))
-
     pieces = F.split(text, generator.pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(generator.pattern), F.lit(0))
     zipped = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("gap"), m.alias("match")))
-    walk = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(generator.gate), walk).otherwise(none)
+
+    def placed(z: Column) -> Column:
+        lengths = F.transform(z, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+
+        def spans(starts: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                start = F.get(starts, i) + F.length(x["gap"])
+                end = start + F.coalesce(F.length(x["match"]), F.lit(0))
+                return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(generator.kind).alias("kind"), x["match"].alias("match"))
+
+            return F.filter(F.transform(z, one), lambda x: x["match"].isNotNull() & _valid(generator.kind, x["match"]))
+
+        return _let(lengths, lambda n: _let(_scan(n, _plus, 0), spans))
+
+    return F.when(text.rlike(generator.gate), _let(zipped, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 FEATURES = ("rank", "length", "digits", "groups", "letters", "parens", "shape_phone", "shape_social", "shape_date", "luhn", "word_before", "money_before", "cue", "against", "close")
@@ -100,11 +156,11 @@ _CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|reach|write|ssn|soc
 _AGAINST = r"(?i)(?:version|isbn|page|pp|order|invoice|ref|part|serial|section|year|no|nr|vol|build|rev)[^0-9A-Za-z]{0,3}$"
 
 
-def _features(text: Column, x: Column) -> Column:
+def _features(chunks: Column, x: Column) -> Column:
     m = x["match"]
-    # a slice from before the match: 24 characters of context decide, not a prefix of the text
-    before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-    after = F.substring(text, x["end"] + 1, F.lit(1))
+    # 24 characters of context before, one after
+    before = _taken(chunks, F.greatest(x["start"] - 24, F.lit(0)), x["start"])
+    after = _taken(chunks, x["end"], x["end"] + 1)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     digits = _digits(m)
     values = {
@@ -127,27 +183,29 @@ def _features(text: Column, x: Column) -> Column:
     return F.struct(*(values[name].alias(name) for name in FEATURES))
 
 
-def _sentences() -> list[tuple[str, int]]:
-    """(text, whether its proposals are personal data), from templates; d is a digit, A a capital, w a word."""
-    r = random.Random(11)
-    yes = ("(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "ddd ddd dddd", "ddd-dd-dddd", "dd dd dd dd dd", "0dd dddd dddd", "wwww at wwwww dot com", "www.ww (at) wwwww (dot) org", "www [at] wwwww.net", "AAdd dddd dddd dddd dddd dd", "AAdd AAAA dddd dddd dddd", "AAdddddddddddddddddd")
-    no = ("20dd-0d-1d", "1d.0d.20dd", "19dd-20dd", "dd.dd", "ddd.dd", "d.dd.ddd", "ddd-d-dddd-dddd-d", "dddd-dddd", "dd-dd", "dd 000", "dd.ddd.ddd", "dd dd", "ddd ddd", "www at dd dot ww", "looked at ww dot ww", "AAdd AAAA AAAA", "AAdd dddd dddd", "dddd.dd.dd", "dddd dddd dddd dddd dddd")
-    for_yes = ("call ", "Tel: ", "phone ", "reach me: ", "fax ", "contact ", "SSN ", "IBAN ", "account ", "write to ", "my number is ", "")
-    for_no = ("version ", "ISBN ", "pages ", "order ", "invoice ", "$", "€ ", "section ", "about ", "from ", "built ", "ref ", "", "year ", "was ")
+# What is written into passages; d is a digit, A a capital, w a letter, other words stand for themselves.
+YES = ("(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "ddd ddd dddd", "ddd-dd-dddd", "dd dd dd dd dd", "0dd dddd dddd", "wwww at wwwww dot com", "www.ww (at) wwwww (dot) org", "www [at] wwwww.net", "AAdd dddd dddd dddd dddd dd", "AAdd AAAA dddd dddd dddd", "AAdddddddddddddddddd")
+NO = ("20dd-0d-1d", "1d.0d.20dd", "19dd-20dd", "dd.dd", "ddd.dd", "d.dd.ddd", "ddd-d-dddd-dddd-d", "dddd-dddd", "dd-dd", "dd 000", "dd.ddd.ddd", "dd dd", "ddd ddd", "www at dd dot ww", "looked at ww dot ww", "AAdd AAAA AAAA", "AAdd dddd dddd", "dddd.dd.dd", "dddd dddd dddd dddd dddd")
+FOR_YES = ("call ", "Tel: ", "phone ", "reach me: ", "fax ", "contact ", "SSN ", "IBAN ", "account ", "write to ", "my number is ", "")
+FOR_NO = ("version ", "ISBN ", "pages ", "order ", "invoice ", "$", "€ ", "section ", "about ", "from ", "built ", "ref ", "", "year ", "was ")
+_LITERAL = ("at", "dot", "com", "org", "net", "looked", "(at)", "(dot)", "[at]")
 
-    def filled(template: str) -> str:
-        marks = {"d": lambda: str(r.randrange(10)), "A": lambda: chr(65 + r.randrange(26)), "w": lambda: chr(97 + r.randrange(26))}
-        return "".join(marks[c]() if c in marks else c for c in template)
 
+def _examples(passages: list[str]) -> list[dict]:
+    """Passages with something written between two words: id, text, begin and end of it, whether it is personal data, and whether it is held out."""
+    r = random.Random(11)
+    marks = {"d": lambda: str(r.randrange(10)), "A": lambda: chr(65 + r.randrange(26)), "w": lambda: chr(97 + r.randrange(26))}
+    passages = passages if len(passages) >= 8 else [*passages, *("so", "and then", "it was", "we saw that", "they said so", "here it is", "not much more", "as before")]
     rows = []
     for i in range(EXAMPLES):
-        good = i % 2
-        template = r.choice(yes if good else no)
-        # literal words of a template are kept: only runs of its own marks are filled
-        made = " ".join(part if part in ("at", "dot", "com", "org", "net", "looked", "(at)", "(dot)", "[at]") else filled(part) for part in template.split(" "))
+        good, at = i % 2, r.randrange(len(passages))
+        made = " ".join(part if part in _LITERAL else "".join(marks[c]() if c in marks else c for c in part) for part in r.choice(YES if good else NO).split(" "))
         # one example in ten has the other side's context, so that the format has to count too
-        cues = for_yes if good != (r.random() < 0.1) else for_no
-        rows.append((f"{r.choice(('So ', 'Then ', 'And ', ''))}{r.choice(cues)}{made}{r.choice((' ', '.', ', ', ''))}{r.choice(('then', 'more', ''))}", good))
+        cue = r.choice(FOR_YES if good != (r.random() < 0.1) else FOR_NO)
+        words = passages[at].split(" ")
+        cut = r.randrange(len(words) + 1)
+        left = " ".join([*words[:cut], cue])
+        rows.append({"id": i, "text": left + made + r.choice((" ", ". ", ", ", "")) + " ".join(["", *words[cut:]]), "begin": len(left), "end": len(left) + len(made), "good": good, "held": at % 4 == 3})
     return rows
 
 
@@ -158,24 +216,32 @@ class Selector:
     held_out: dict[str, tuple[int, float, float]]
 
 
-@lru_cache(maxsize=1)
-def _selector_of(app: str) -> Selector:
-    """The fitted trees; the same in every application."""
+def _passages(docs: DataFrame, text_col: str) -> list[str]:
+    """At most SAMPLE passages: of each bucket of text hashes the text with the least, from a place that the hash picks."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).filter("text <> ''")
+    place = F.expr("CAST(pmod(shiftrightunsigned(h, 9), length(text)) AS INT) + 1")
+    taken = hashed.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("bucket")).agg(F.min(F.struct("h", F.substring("text", place, F.lit(PASSAGE)).alias("passage"))).alias("least"))
+    return [r.passage for r in taken.select("bucket", "least.passage").orderBy("bucket").collect()]
+
+
+def selector(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Selector:
+    """The trees and thresholds fitted on passages of docs; one table gives one selector."""
     import numpy as np
 
-    spark = SparkSession.active()
-    values = ", ".join(f"({i}, {good}, '{text}')" for i, (text, good) in enumerate(_sentences()))
-    examples = spark.sql(f"SELECT * FROM VALUES {values} AS t(id, good, text)")
-    found = F.concat(*(proposals(F.col("text"), g) for g in GENERATORS if not g.base))
-    rows = (
-        examples.select("id", "good", "text", F.explode(found).alias("x"))
-        .select("id", "good", F.col("x.kind").alias("kind"), _features(F.col("text"), F.col("x")).alias("f"))
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.id, r.f.rank))
+    examples = _examples(_passages(docs, text_col))
+    schema = "array<struct<id:int,text:string,begin:int,end:int,good:int,held:boolean>>"
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(examples)), schema)).alias("e")).select("e.*")
+    text = F.col("text")
+    base = F.concat(*(proposals(text, g) for g in GENERATORS if g.base))
+    more = F.concat(*(proposals(text, g) for g in GENERATORS if not g.base))
+    staged = table.select("*", base.alias("base"), more.alias("more")).select("*", _chunks(text).alias("chunks"), F.explode(_apart(F.col("base"), F.col("more"))).alias("x"))
+    label = F.when((F.col("x.start") < F.col("end")) & (F.col("begin") < F.col("x.end")), F.col("good")).otherwise(0)
+    rows = staged.select("id", "held", label.alias("good"), F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), _features(F.col("chunks"), F.col("x")).alias("f")).collect()
+    rows.sort(key=lambda r: (r.id, r.f.rank, r.start))
     x = np.array([tuple(r.f) for r in rows])
     y = np.array([r.good for r in rows])
-    test = np.array([r.id // 2 % 4 == 3 for r in rows])
+    test = np.array([r.held for r in rows])
     trees = Boosted.fit(x[~test], y[~test], FEATURES)
     scores, thresholds, held_out = trees.scores(x), {}, {}
     for kind in KINDS[len(BASE) :]:
@@ -184,53 +250,101 @@ def _selector_of(app: str) -> Selector:
         s, right = scores[own][order], np.cumsum(y[own][order])
         precision = right / np.arange(1, len(s) + 1)
         last = np.append(s[1:] < s[:-1], True)
-        good = np.flatnonzero((precision >= PRECISION) & last)
+        good = np.flatnonzero((precision >= PRECISION) & last[: len(s)])
         if len(good):
             thresholds[kind] = float(s[good[-1]])
             held_out[kind] = (int(own.sum()), float(precision[good[-1]]), float(right[good[-1]] / max(1, y[own].sum())))
     return Selector(trees, thresholds, held_out)
 
 
-def selector(spark: SparkSession) -> Selector:
-    return _selector_of(spark.sparkContext.applicationId)
+def _apart(base: Column, more: Column) -> Column:
+    """The spans of more that overlap none of base, by start."""
+    entry = lambda own: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), x.alias("x"))
 
+    def judged(every: Column) -> Column:
+        ends = F.transform(every, lambda e: F.when(e["own"], F.lit(-1)).otherwise(e["end"]))
+        starts = F.reverse(F.transform(every, lambda e: F.when(e["own"], F.lit(LATE)).otherwise(e["start"])))
 
-def found(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column __pii: all kept spans by (start, rank)."""
-    chosen = selector(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(*(proposals(text, g) for g in GENERATORS if g.base))
-    more = F.concat(*(proposals(text, g) for g in GENERATORS if g.kind in chosen.thresholds))
-    staged = docs.withColumn("__base", base).withColumn("__more", more)
+        def kept(reach: Column) -> Column:
+            # base spans that begin before end by reach.left, those that begin after start from reach.right
+            free = lambda e, i: F.when(e["own"] & (F.get(reach["left"], i) <= e["start"]) & (F.get(reach["right"], i) >= e["end"]), e["x"])
+            return F.filter(F.transform(every, free), lambda x: x.isNotNull())
+
+        left, right = _let(ends, lambda v: _scan(v, _most, -1)), F.reverse(_let(starts, lambda v: _scan(v, _least, LATE)))
+        return _let(F.struct(left.alias("left"), right.alias("right")), kept)
+
+    every = F.array_sort(F.concat(F.transform(base, entry(False)), F.transform(more, entry(True))))
+    return F.when(F.size(more) > 0, _let(every, judged)).otherwise(F.array().cast(SPAN))
+
+
+def _groups(ends: Column, starts: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """body(reach, first, last) of spans by start: the farthest end before each, and the first and last place of its group of overlapping spans."""
 
-    def overlap(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+    def with_reach(own: Column) -> Column:
+        reach = own["reach"]
+        begins = F.zip_with(reach, own["starts"], lambda m, s: m <= s)
+        begins = F.transform(begins, lambda new, i: F.when(new, i))
 
-    def scored(x: Column) -> Column:
-        return F.struct(x.alias("x"), chosen.trees.column(_features(text, x)).alias("score"))
+        def bounds(b: Column) -> Column:
+            first = _let(F.transform(b, lambda x: F.coalesce(x, F.lit(0))), lambda v: F.zip_with(b, _scan(v, _most, 0), lambda own, before: F.coalesce(own, before)))
+            nexts = F.reverse(_let(F.reverse(F.transform(b, lambda x: F.coalesce(x, F.lit(LATE)))), lambda v: _scan(v, _least, LATE)))
+            return _let(F.struct(first.alias("first"), F.transform(nexts, lambda x: F.least(x, F.size(b)) - 1).alias("last")), lambda t: body(reach, t["first"], t["last"]))
 
-    least = F.create_map(*(v for k, t in chosen.thresholds.items() for v in (F.lit(k), F.lit(t))))
-    apart = F.filter("__more", lambda x: ~F.exists("__base", lambda b: overlap(x, b)))
-    staged = staged.withColumn("__more", F.when(F.size("__more") > 0, apart).otherwise(F.col("__more")))
-    kept = F.filter(F.transform("__more", scored), lambda s: s["score"] >= least[s["x"]["kind"]])
-    staged = staged.withColumn("__scored", F.when(F.size("__more") > 0, kept))
+        return _let(begins, bounds)
+
+    reach = _let(ends, lambda v: _scan(v, _most, -1))
+    return _let(F.struct(reach.alias("reach"), starts.alias("starts")), with_reach)
+
+
+def found(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text, spans): each row of docs as one struct, its text, and all kept spans by (start, rank)."""
+    chosen = selector(spark, docs, text_col)
+    text = F.col("text")
+    picked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    none = F.array().cast(SPAN)
+    more = [proposals(text, g) for g in GENERATORS if g.kind in chosen.thresholds]
+    staged = picked.select("row", "text", F.concat(*(proposals(text, g) for g in GENERATORS if g.base)).alias("base"), (F.concat(*more) if more else none).alias("more"))
+    staged = staged.select("row", "text", "base", _apart(F.col("base"), F.col("more")).alias("more"))
+    least = F.create_map(*(v for k, t in (chosen.thresholds or {"": 0.0}).items() for v in (F.lit(k), F.lit(t))))
+
+    def scored(chunks: Column) -> Column:
+        return F.transform("more", lambda x: F.struct(x.alias("x"), _let(_features(chunks, x), chosen.trees.column).alias("score")))
+
+    enough = F.filter(_let(_chunks(text), scored), lambda s: s["score"] >= least[s["x"]["kind"]])
+    staged = staged.select("row", "text", "base", F.when(F.size("more") > 0, enough).alias("scored"))
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["x"]["start"] < b["x"]["start"]) | ((a["x"]["start"] == b["x"]["start"]) & (a["x"]["rank"] < b["x"]["rank"]))))
-    own = F.filter("__scored", lambda s: ~F.exists("__scored", lambda o: better(o, s) & overlap(o["x"], s["x"])))
-    added = F.coalesce(F.transform(own, lambda s: s["x"]), F.array().cast(SPAN))
-    return staged.withColumn("__pii", F.array_sort(F.concat("__base", added))).drop("__base", "__more", "__scored")
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def best(reach: Column, first: Column, last: Column) -> Column:
+        own = F.col("scored")
+
+        def kept(s: Column, i: Column) -> Column:
+            group = F.slice(own, F.get(first, i) + 1, F.get(last, i) - F.get(first, i) + 1)
+            return F.when(~F.exists(group, lambda o: better(o, s) & overlap(o["x"], s["x"])), s["x"])
+
+        return F.filter(F.transform(own, kept), lambda x: x.isNotNull())
+
+    chosen_ones = _groups(F.transform("scored", lambda s: s["x"]["end"]), F.transform("scored", lambda s: s["x"]["start"]), best)
+    added = F.when(F.size("scored") > 1, chosen_ones).when(F.size("scored") == 1, F.transform("scored", lambda s: s["x"])).otherwise(none)
+    return staged.select("row", "text", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every kept span replaced by its kind in brackets; overlapping spans become one mark. Null texts stay null."""
-    text = F.col(text_col)
+    own = F.col("spans")
+
+    def filled(chunks: Column) -> Column:
+        def pieces(reach: Column, first: Column, last: Column) -> Column:
+            mark = lambda x, i: F.when(
+                F.get(first, i) == i, F.concat(_taken(chunks, F.greatest(F.get(reach, i), F.lit(0)), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+            )
+            tail = _taken(chunks, F.array_max(F.transform(own, lambda x: x["end"])), F.length("text"))
+            return F.concat(F.array_join(F.transform(own, mark), ""), tail)
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        filled = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, filled).otherwise(acc["out"]).alias("out"))
+        return _groups(F.transform(own, lambda x: x["end"]), F.transform(own, lambda x: x["start"]), pieces)
 
-    walk = F.aggregate("__pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found(spark, docs, text_col).withColumn(text_col, F.when(F.size("__pii") > 0, walk).otherwise(text)).select(*docs.columns)
+    made = F.when(F.size(own) > 0, _let(_chunks(F.col("text")), filled)).otherwise(F.col("row")[text_col])
+    return found(spark, docs, text_col).select(*(made.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def digest(spans: Column) -> Column:
@@ -240,14 +354,14 @@ def digest(spans: Column) -> Column:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base kinds, and all spans."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = found(spark, docs).select("doc_id", "__pii")
+    every = found(spark, docs)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("__pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return spans.select(
-        "doc_id",
+    return every.select(
+        F.col("row.doc_id").alias("doc_id"),
         *map(count, BASE),
-        F.sha2(digest(F.filter("__pii", lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"),
-        digest(F.col("__pii")).alias("spans"),
+        F.sha2(digest(F.filter("spans", lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
     )

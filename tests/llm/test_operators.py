@@ -200,16 +200,51 @@ def brute_pii(text):
 
 def test_pii(spark, docs):
     texts = ODD + ["a@b.c_d@e.f x@y 1.2.3.4.5.6.7.8 300.1.1.1", "+1 (743) 555-3824 é😀 me@x.y.z 4111 1111 1111 1111", "a." * 3000 + "@b", "a@b" + ".c" * 3000, "+1" * 3000, "call (743) 555-3824 now, version 1.2.3"] + list(docs.values())
-    rows = pii.found(spark, frame(spark, texts).select("doc_id", "text")).collect()
-    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r["__pii"] if x.kind in BASE] for r in rows}
+    rows = pii.found(spark, frame(spark, texts)).collect()
+    got = {r.row.doc_id: [(x.kind, x.start, x.end) for x in r.spans if x.kind in BASE] for r in rows}
     assert got == {i: brute_pii(t or "") for i, t in enumerate(texts)}
     clean = {r.doc_id: r.text for r in pii.redact(spark, frame(spark, texts)).collect()}
     assert clean[0] is None and "[NUMBER]" in clean[len(ODD) + 5] and "[EMAIL]" in clean[len(ODD) + 1]
     assert pii.redact(spark, empty(spark)).count() == 0
 
 
+def test_pii_added_spans_and_redaction_by_brute_force(spark):
+    r = random.Random(6)
+    bits = ["call (743) 555-3824", "me at home dot org", "a@b.co", "version 1.2.3", "12 34 56 78 90", "SSN 123-45-6789", "x" * 3000, "DE44 5001 0517 5407 3249 31", "é😀", "10.0.0.1", "tel 030 1234 5678 90 12"]
+    texts = [" ".join(r.choice(bits) for _ in range(n)) for n in (*range(12), 150, 300)]
+    chosen = pii.selector(spark, frame(spark, texts))
+    more = [pii.proposals(F.col("text"), g).alias(g.kind) for g in pii.GENERATORS if g.kind in chosen.thresholds]
+    asked = frame(spark, texts).select("doc_id", "text", F.explode(F.concat(*more)).alias("x"), pii._chunks(F.col("text")).alias("c"))
+    scored = asked.select("doc_id", "x", chosen.trees.column(pii._features(F.col("c"), F.col("x"))).alias("score")).collect()
+    over = lambda a, b: a.start < b.end and b.start < a.end
+    rows = {x.row.doc_id: x for x in pii.found(spark, frame(spark, texts)).collect()}
+    clean = {x.doc_id: x.text for x in pii.redact(spark, frame(spark, texts)).collect()}
+    n_added = 0
+    for i, text in enumerate(texts):
+        base = [x for x in rows[i].spans if x.kind in BASE]
+        own = [(-s.score, s.x.start, s.x.rank, s.x) for s in scored if s.doc_id == i and s.score >= chosen.thresholds[s.x.kind] and not any(over(s.x, b) for b in base)]
+        want = [a[3] for a in own if not any(b[:3] < a[:3] and over(a[3], b[3]) for b in own)]
+        n_added += len(want)
+        assert [tuple(x) for x in rows[i].spans] == sorted(tuple(x) for x in [*base, *want])
+        out, at = "", 0
+        for x in rows[i].spans:
+            out += text[at : x.start] + f"[{x.kind.upper()}]" if x.start >= at else ""
+            at = max(at, x.end)
+        assert clean[i] == out + text[at:]
+    assert n_added > 20
+
+
+def test_pii_beside_any_columns_and_in_a_text_of_many(spark):
+    df = frame(spark, ["a@b.cd, call (743) 555-3824", None, " ".join(f"u{i}@m{i}.org" for i in range(20_000))])
+    for name in ("__pii", "__base", "row", "base", "more", "scored", "n_chars"):
+        df = df.withColumn(name, F.lit("kept"))
+    rows = {x.doc_id: x for x in pii.redact(spark, df).collect()}
+    assert pii.redact(spark, df).columns == df.columns and rows[0]["__pii"] == rows[0].row == "kept"
+    assert rows[0].text.startswith("[EMAIL], call [") and rows[1].text is None and rows[2].text == " ".join(["[EMAIL]"] * 20_000)
+
+
 def test_pii_selector_on_rows_left_out(spark):
-    s = pii.selector(spark)
+    s = pii.selector(spark, common.table(spark, SF, "documents"))
     assert set(s.thresholds) == set(s.held_out) and s.thresholds
     assert all(precision >= pii.PRECISION for _, precision, _ in s.held_out.values())
 
