@@ -363,6 +363,46 @@ def test_pieces_match_the_library(spark, docs):
     assert pieces.encode_decode(spark, empty(spark), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("rule, squeeze, kind", [("nmt_nfkc", 1, 2), ("nfkc_cf", 0, 1)])
+def test_machines_of_models_with_a_character_map(docs, rule, squeeze, kind):
+    import sentencepiece
+
+    def packed(number, value):
+        size, out = len(value), bytes([number << 3 | 2])
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return out + bytes([size]) + value
+
+    spec = next(v for n, v in pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if n == 3)
+    table = dict(pieces._fields(spec))[2]
+    with open(PIECES, "rb") as source:
+        fields = list(pieces._fields(source.read()))
+    # the same pieces with another map, and scored (1) instead of merged (2)
+    made = b"".join(packed(n, v) for n, v in fields if n not in (2, 3)) + packed(2, bytes([3 << 3, kind, 35 << 3 & 127 | 128, 2, 1])) + packed(3, packed(2, table) + bytes([4 << 3, squeeze]))
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=made), pieces.PieceModel(made)
+    assert len(own.normalise.arcs) > 1_000
+    r = random.Random(90)
+    fuzz = ["".join(r.choice("aeinrst  ﬁÅÅe\u0301\n.Ａ①㍿㎏ßẞÉ漢ｶﾞ½\u3000\u200b\u00a0") for _ in range(r.randrange(1, 40))) for _ in range(600)]
+    for text in [*fuzz, "", "   ", "  a  b  ", *list(docs.values())[:40]]:
+        got, want = np.frombuffer(own.encode(text or ""), "<i4").tolist(), library.encode(text or "")
+        if kind == 2:
+            assert got == want, text
+        else:
+            # these scores are whole numbers, so that several paths may be best: what counts is the weight and the text
+            weight = lambda ids: sum(own.pieces[i][1] if own.pieces[i][2] == pieces.NORMAL else own.least - 10 for i in ids)
+            assert own.decode(got) == library.decode(want) and weight(got) >= weight(want), text
+
+
+def test_a_worker_forgets_and_goes_on(docs):
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel(PIECES)
+    own.LIMIT, own.STATES = 50, 40
+    for text in list(docs.values())[:60]:
+        assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode(text)
+    assert len(own.cache) <= 51 and len(own.sets) < 200
+
+
 # 10 --------------------------------------------------------------- near duplicates
 def brute_classes(texts, similarity=0.8):
     words = [re.findall("[0-9a-z_\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
