@@ -2,17 +2,20 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight per term is shared by all ordered thresholds, and a
 text's score is its expected grade, 0 to 3. Features are the distinct words of the whole text. The fit
-uses at most MAX_ROWS labelled rows, those with the smallest hashes of their ids, and all terms in at
-least MIN_ROWS of them; an L1 penalty leaves the weights of a few terms. Everything is in
-id order, so that a table gives one model.
-
-Labels say only 0 or 1. Grades of toxic rows follow from how much of a text is made of terms that the
-labels tie to toxicity (smoothed odds above ODDS): one such word gives 1, two or three 2, more 3.
-The decision threshold on P(grade >= 1) is set on every fifth row, which the first fit leaves out.
-
-Null texts count as empty and get the score of a text without known terms. Labels that are null are
-left out; of repeated labels the larger counts. Without usable labels, or with labels of one kind, all
-weights are zero and nothing is toxic. Rows may repeat; an empty table gives an empty result.
+uses at most MAX_ROWS labelled documents, those with the smallest hashes of their ids, and all terms in at
+least MIN_ROWS of them; an L1 penalty leaves the weights of a few terms. Everything is in id order, so
+that a table gives one model.
+
+Grades come from the labels alone: 0, no label of a document says toxic; 1, its labels disagree; 2, all
+say toxic and one calls it good; 3, all say toxic and none calls it good. Grades that no label gives get
+no share of their own. The decision threshold on P(grade >= 1) is set on documents that a fit left out,
+vocabulary included, each third of them in turn; the final fit takes all. The penalty falls with the
+square root of the number of documents.
+
+Null texts count as empty and get the score of a text without known terms. Labels without an id or a
+toxic value are left out; without quality they call nothing good. Of several texts of a labelled id the
+one with the least hash counts. Without usable labels, or with labels of one kind, all weights are zero
+and nothing is toxic. Rows may repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from .tokenids import _slices
 
 MAX_ROWS = 8_000
 MIN_ROWS = 3
-ODDS = 20.0
+LEVELS = 3
+PENALTY = 0.036
+FOLDS = 3
 _WORD = re.compile(r"\w+")
 
 
@@ -52,14 +57,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.asarray(self.thresholds) - score, -500, 500)))
 
 
-def _fit(x_rows, n_terms: int, grades, penalty: float = 0.0004, steps: int = 400):
-    """Weights and thresholds by accelerated proximal gradient on the whole sample."""
+def _fit(x_rows, n_terms: int, grades, levels: int = LEVELS, penalty: float | None = None, steps: int = 400, settled: float = 1e-7):
+    """Weights and thresholds by accelerated proximal gradient on the whole sample, until ten steps in a row gain next to nothing."""
     import numpy as np
 
     n = len(x_rows)
+    penalty = PENALTY / n**0.5 if penalty is None else penalty
     rows = np.repeat(np.arange(n), [len(r) for r in x_rows])
     cols = np.concatenate([np.asarray(r, np.int64) for r in x_rows]) if len(rows) else np.zeros(0, np.int64)
-    y, levels = np.asarray(grades), 3
+    y = np.asarray(grades)
     share = np.clip([(y >= k).mean() for k in range(1, levels + 1)], 1e-4, 1 - 1e-4)
     theta = np.log((1 - share) / share)
     w = np.zeros(n_terms)
@@ -79,6 +85,7 @@ def _fit(x_rows, n_terms: int, grades, penalty: float = 0.0004, steps: int = 400
         np.add.at(g_t, np.clip(y, None, levels - 1), np.where(y < levels, -db, 0) / n)
         return np.bincount(cols, g_f[rows], n_terms), g_t, -np.log(p).mean()
 
+    reached, idle = np.inf, 0
     for _ in range(steps):
         g_w, g_t, loss = slope(look_w, look_t)
         while True:
@@ -88,9 +95,15 @@ def _fit(x_rows, n_terms: int, grades, penalty: float = 0.0004, steps: int = 400
             next_t = np.maximum.accumulate(next_t + 1e-6 * np.arange(levels))
             d_w, d_t = next_w - look_w, next_t - look_t
             reach = loss + d_w @ g_w + d_t @ g_t + (d_w @ d_w + d_t @ d_t) / (2 * rate)
-            if slope(next_w, next_t)[2] <= reach + 1e-10 or rate < 1e-4:
+            there = slope(next_w, next_t)[2]
+            if there <= reach + 1e-10 or rate < 1e-4:
                 break
             rate /= 2
+        now = there + penalty * np.abs(next_w).sum()
+        idle = idle + 1 if abs(reached - now) < settled else 0
+        reached = now
+        if idle == 10:
+            return next_w, next_t
         after = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         look_w = next_w + (pace - 1) / after * (next_w - w)
         look_t = np.sort(next_t + (pace - 1) / after * (next_t - theta))
@@ -98,38 +111,29 @@ def _fit(x_rows, n_terms: int, grades, penalty: float = 0.0004, steps: int = 400
     return w, theta
 
 
+def grades_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of labels (doc_id, toxic, and quality if there is one)."""
+    good = F.coalesce(F.col("quality").cast("double") > 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("double") > 0).alias("bad"), good.alias("good")).dropna()
+    told = votes.groupBy("doc_id").agg(F.max("bad").alias("any"), F.min("bad").alias("all"), F.max("good").alias("good"))
+    return told.select("doc_id", F.when(~F.col("any"), 0).when(~F.col("all"), 1).when(F.col("good"), 2).otherwise(3).alias("grade"))
+
+
 def _sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, toxic, terms: distinct words with counts) of the labelled rows that the fit uses."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .dropna()
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, grade, terms: distinct words) of the labelled documents that the fit uses, at most max_rows."""
+    chosen = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most max_rows rows of two numbers: safe to broadcast
-    picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-
-    def count(batches):
-        from collections import Counter
+    picked = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
 
+    def split(batches):
         import pyarrow as pa
 
         for batch in batches:
-            counts = [Counter(words(t.as_py() or "")) for t in batch.column("text")]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    batch.column("toxic"),
-                    pa.array([list(c) for c in counts], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "toxic", "terms", "counts"],
-            )
+            terms = [sorted(set(words(t.as_py()))) for t in batch.column("text")]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "grade", "terms"])
 
-    return common.written(spark, picked.mapInArrow(common.lean(count), "doc_id long, toxic int, terms array<string>, counts array<long>"), "toxicity-sample")
+    return common.written(spark, picked.select("doc_id", "grade", "one.text").mapInArrow(common.lean(split), "doc_id long, grade int, terms array<string>"), "toxicity-sample")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_rows: int = MIN_ROWS) -> Model:
@@ -138,65 +142,54 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
 
     common.ship(spark)
     sample = _sample(spark, docs, labels, max_rows)
-    stats = (
-        sample.select("toxic", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-        .filter(F.col("n") >= min_rows)
-        .orderBy(F.desc("n"), "term")
-        .collect()
-    )
-    vocabulary = {r.term: i for i, r in enumerate(stats)}
+    stats = sample.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).select("term").orderBy("term")
+    terms = [r.term for r in stats.collect()]
+    vocabulary = {t: i for i, t in enumerate(terms)}
 
     def encode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            known = [[(vocabulary[t], c) for t, c in zip(ts, cs, strict=True) if t in vocabulary] for ts, cs in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    batch.column("toxic"),
-                    pa.array([[t for t, _ in x] for x in known], pa.list_(pa.int64())),
-                    pa.array([[c for _, c in x] for x in known], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "toxic", "terms", "counts"],
-            )
+            known = [[vocabulary[t] for t in ts if t in vocabulary] for ts in batch.column("terms").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(known, pa.list_(pa.int32()))], names=["doc_id", "grade", "terms"])
 
-    rows = sorted(sample.mapInArrow(common.lean(encode), "doc_id long, toxic int, terms array<long>, counts array<long>").collect())
-    toxic = np.array([int(r.toxic > 0) for r in rows], int)
+    rows = sorted(sample.mapInArrow(common.lean(encode), "doc_id long, grade int, terms array<int>").collect())
+    grades = np.array([r.grade for r in rows], int)
+    toxic = grades > 0
     if not rows or toxic.min() == toxic.max():
         return Model()
-    n_bad = max(1, sum(r.toxic > 0 for r in rows))
-    n_good = max(1, len(rows) - n_bad)
-    odds = np.array([((r.bad + 0.1) / n_bad) / ((r.n - r.bad + 0.1) / n_good) for r in stats])
-    telling = odds > ODDS
-    amount = np.array([sum(c for t, c in zip(r.terms, r.counts, strict=True) if telling[t]) for r in rows])
-    grades = np.where(toxic == 0, 0, 1 + (amount >= 2) + (amount >= 4))
-    x = [sorted(r.terms) for r in rows]
-    terms = list(vocabulary)
-
-    def model(own) -> Model:
-        w, theta = _fit([x[i] for i in own], len(terms), grades[own])
-        return Model({terms[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(map(float, theta)))
-
-    def chances(m: Model, own):
-        w = np.array([m.weights.get(t, 0.0) for t in terms])
-        return np.array([m.above(w[x[i]].sum())[0] for i in own])
-
-    test, train = np.arange(0, len(rows), 5), np.setdiff1d(np.arange(len(rows)), np.arange(0, len(rows), 5))
-    p = chances(model(train), test)
+    x = [np.array(sorted(r.terms), np.int64) for r in rows]
+
+    def weights(own):
+        """Fitted on these rows: terms that too few of them have get no weight."""
+        met = np.bincount(np.concatenate([x[i] for i in own]), minlength=len(terms)) if len(own) else np.zeros(len(terms), int)
+        place = np.where(met >= min_rows, np.cumsum(met >= min_rows) - 1, -1)
+        present = np.unique(grades[own])
+        if len(present) < 2:
+            return np.zeros(len(terms)), np.where(np.arange(1, LEVELS + 1) <= present.max(initial=0), -30.0, 30.0)
+        w, steps = _fit([place[x[i]][place[x[i]] >= 0] for i in own], int((met >= min_rows).sum()), np.searchsorted(present, grades[own]), len(present) - 1)
+        # a grade that no row has shares the threshold of the next one, and is out of reach behind the last
+        at = np.searchsorted(present, np.arange(1, LEVELS + 1)) - 1
+        theta = np.where(at < 0, steps[0] - 30.0, np.append(steps, steps[-1] + 30.0)[np.minimum(at, len(steps))])
+        full = np.zeros(len(terms))
+        full[met >= min_rows] = w
+        return full, theta
+
+    scale, every = np.zeros(len(rows)), np.arange(len(rows))
+    for fold in range(FOLDS):
+        test, train = every[fold::FOLDS], every[every % FOLDS != fold]
+        w, theta = weights(train)
+        scale[test] = np.array([w[x[i]].sum() for i in test]) - theta[0]
     # the cut with the most right answers; of several, the middle one on the scale of the log-odds
-    scale = np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
     values = np.unique(scale)
     middles = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
-    order = np.sort(scale[toxic[test] == 0]), np.sort(scale[toxic[test] == 1])
+    order = np.sort(scale[~toxic]), np.sort(scale[toxic])
     right = np.searchsorted(order[0], middles) + len(order[1]) - np.searchsorted(order[1], middles)
     best = middles[right == right.max()]
-    final = model(np.arange(len(rows)))
-    final.cut = float(1 / (1 + np.exp(-best[len(best) // 2])))
-    said = p >= final.cut
-    final.held_out = {"rows": len(test), "accuracy": float((said == (toxic[test] == 1)).mean())}
+    cut = best[len(best) // 2]
+    w, theta = weights(every)
+    final = Model({terms[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(map(float, theta)), float(1 / (1 + np.exp(-np.clip(cut, -500, 500)))))
+    final.held_out = {"rows": len(rows), "accuracy": float(((scale >= cut) == toxic).mean())}
     return final
 
 

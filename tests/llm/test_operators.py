@@ -107,6 +107,39 @@ def test_toxicity_on_rows_left_out(spark):
     assert all(0 <= r.severity <= 3 for r in said.values())
 
 
+def test_toxicity_fit_has_the_least_penalised_loss():
+    r = np.random.default_rng(3)
+    x = [np.flatnonzero(r.random(12) < 0.4) for _ in range(300)]
+    strength = np.array([sum((2.0, -1.0, 1.0)[t] for t in row if t < 3) for row in x]) + r.logistic(size=300)
+    y = np.digitize(strength, [0.5, 1.5, 3.0])
+    w, theta = toxicity._fit(x, 12, y, penalty=0.0004, steps=3000, settled=0.0)
+
+    def loss(w, theta):
+        total, levels = 0.0, [-np.inf, *theta, np.inf]
+        for row, grade in zip(x, y, strict=True):
+            f = sum(w[t] for t in row)
+            low, high = (1 / (1 + np.exp(-(levels[grade + k] - f))) if np.isfinite(levels[grade + k]) else float(k) for k in (0, 1))
+            total -= np.log(high - low)
+        return total / len(x) + 0.0004 * np.abs(w).sum()
+
+    least = loss(w, theta)
+    for _ in range(200):
+        step = r.normal(size=15) * 10.0 ** r.uniform(-4, 0)
+        assert loss(w + step[:12], np.sort(theta + step[12:])) >= least - 1e-6
+
+
+def test_toxicity_grades(spark):
+    rows = [(1, 0, 1), (2, 1, 1), (2, 0, 1), (3, 1, 1), (3, 1, None), (4, 1, 0), (5, None, 1), (None, 1, 1), (6, 1, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int, quality int")
+    assert dict(map(tuple, toxicity.grades_of(labels).collect())) == {1: 0, 2: 1, 3: 2, 4: 3, 6: 3}
+
+
+def test_toxicity_of_a_labelled_id_with_many_texts(spark):
+    docs = spark.createDataFrame([(i % 4, f"{'vile' if i % 2 else 'nice'} text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert toxicity._sample(spark, docs, labels, 3).count() == 3 and toxicity._sample(spark, docs, labels, 9).count() == 4
+
+
 def test_toxicity_on_odd_tables(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(spark, frame(spark, ODD), labels)
