@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def roots(spark: SparkSession, links: DataFrame) -> DataFrame:
+def roots(tables: common.Scratch, links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b); root is the component's least node.
 
     In each round every node is merged into the neighbour that comes first in an order drawn anew for
     the round, so a constant share of the nodes goes on average, chains included. Only counts reach the
     driver; each round's tables are written, so a lost executor costs no more than its tasks.
     """
-    edges = common.written(spark, links.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
+    edges = tables.written(links.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = common.written(spark, nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = tables.written(nodes.select("node", F.col("node").alias("label")), "labels")
     turn = 0
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("at"), F.col(c).alias("id"))  # noqa: E731, B023
         parent = both.groupBy("u").agg(F.min(order("v")).alias("best"))
         parent = parent.select("u", F.least("best", order("u"))["id"].alias("to"))
-        parent = common.written(spark, parent, "parents")
+        parent = tables.written(parent, "parents")
         moved = (
             edges.join(parent.select(F.col("u").alias("a"), F.col("to").alias("a2")), "a")
             .join(parent.select(F.col("u").alias("b"), F.col("to").alias("b2")), "b")
@@ -32,9 +32,9 @@ def roots(spark: SparkSession, links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = common.written(spark, moved, "links")
+        edges = tables.written(moved, "links")
         labels = labels.join(parent.withColumnRenamed("u", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = common.written(spark, labels, "labels")
+        labels = tables.written(labels, "labels")
         turn += 1
     least = labels.groupBy("label").agg(F.min("node").alias("root"))
-    return common.written(spark, labels.join(least, "label").select("node", "root"), "roots")
+    return tables.written(labels.join(least, "label").select("node", "root"), "roots")

@@ -159,35 +159,47 @@ def _may_match(a: str, b: str, similarity: float):
 
 def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, large: int = LARGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) for every row of docs; class_id is the least id of the class."""
+    with common.Scratch(spark) as tables:
+        return common.written(spark, _classes(spark, tables, docs, similarity, large, id_col, text_col), "classes")
+
+
+def _with_sizes(found: DataFrame) -> DataFrame:
+    """Classes with their sizes: only those of several rows are looked up, so that no class is gathered in one task."""
+    sizes = few(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1 AND class_id IS NOT NULL"))
+    size = F.when(F.col("class_id").isNotNull(), F.coalesce("class_size", F.lit(1).cast("long"))).alias("class_size")
+    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", size)
+
+
+def _classes(spark: SparkSession, tables: common.Scratch, docs: DataFrame, similarity: float, large: int, id_col: str, text_col: str) -> DataFrame:
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketches = common.written(spark, sketch(spark, picked), "sketches")
+    sketches = tables.written(sketch(spark, picked), "sketches")
     forms = sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high"))
     if not forms.filter("NOT (low <=> high)").isEmpty():
-        return _classes_of_ids(spark, picked, similarity, large)
+        return _classes_of_ids(spark, tables, picked, similarity, large)
     nodes = sketches.filter("doc_id IS NOT NULL AND k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    nodes = common.written(spark, nodes, "nodes")
+    nodes = tables.written(nodes, "nodes")
     keyed = sketches.join(nodes.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     spread = keyed.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
-    rows = common.written(spark, spread.join(shared, "band"), "bands")
-    roots = common.written(spark, rows.select("node", F.col("node").alias("root")).distinct(), "roots")
+    rows = tables.written(spread.join(shared, "band"), "bands")
+    roots = tables.written(rows.select("node", F.col("node").alias("root")).distinct(), "roots")
     texts = picked.join(few(roots.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    texts = common.written(spark, texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+    texts = tables.written(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
 
     rows = rows.withColumn("c", F.col("n")).withColumn("o", F.lit(None).cast("long"))
-    crowd = common.written(spark, rows.filter(F.col("members") > large).select("node").distinct(), "crowd")
+    crowd = tables.written(rows.filter(F.col("members") > large).select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        own = common.written(spark, _shared_counts(spark, texts.join(few(crowd), "node", "left_semi")), "own")
+        own = tables.written(_shared_counts(spark, texts.join(few(crowd), "node", "left_semi")), "own")
         rows = rows.join(few(own), "node", "left").withColumn("c", F.when(F.col("members") > large, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n"))).drop("own")
         # the best partner that the band could have shares c shingles and has no others but the least size asks for
         rows = rows.filter(F.col("c") >= (F.col("n") + F.greatest("least", "c") - F.col("c")) * similarity)
-        rows = common.written(spark, rows, "bands")
+        rows = tables.written(rows, "bands")
     tested = None
     turn = 0
     while True:
         placed = rows.join(roots, "node")
         split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-        placed = common.written(spark, placed.join(split, "band"), "open")
+        placed = tables.written(placed.join(split, "band"), "open")
         if placed.isEmpty():
             break
         # pivots: texts of components with few members first, and those with the largest shared parts
@@ -195,7 +207,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         place = F.row_number().over(Window.partitionBy("band").orderBy("size", (-F.col("c") / F.col("n")), F.xxhash64("node"), "node"))
         limit = 1 if turn == 0 else 8 * 4 ** min(turn - 1, 5)
         pivots = placed.join(sizes, ["band", "root"]).withColumn("place", place).filter(F.col("place") <= limit)
-        pivots = common.written(spark, pivots.select("band", "root", "node", "n", "c", "o", *(["own"] if turn else [])), "pivots")
+        pivots = tables.written(pivots.select("band", "root", "node", "n", "c", "o", *(["own"] if turn else [])), "pivots")
         # all that could be near the first pivot by size are compared with it: what they share bounds what they share with each other
         by_size = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity
         # later, a pair is written in the least of its common bands only; it stays there until one of the two is a pivot
@@ -205,15 +217,15 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(spark, pairs, "pairs")
+        pairs = tables.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        judged = common.written(spark, _overlaps(spark, pairs, texts, similarity), "judged")
+        judged = tables.written(_overlaps(spark, pairs, texts, similarity), "judged")
         found = judged.filter("similar")
         if not found.isEmpty():
             links = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b")
-            merged = components.roots(spark, links.select(F.col("p").alias("a"), F.col("q").alias("b")))
+            merged = components.roots(tables, links.select(F.col("p").alias("a"), F.col("q").alias("b")))
             moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            roots = common.written(spark, moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+            roots = tables.written(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
         if turn == 0:
             first = pivots.select("band", F.col("node").alias("pivot"))
             seen = placed.drop("o").join(first, "band").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
@@ -224,23 +236,20 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         turn += 1
     of_node = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     found = sketches.select("doc_id", "k1", "k2").join(of_node, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
+    return _with_sizes(tables.written(found, "found"))
 
 
-def _classes_of_ids(spark: SparkSession, picked: DataFrame, similarity: float, large: int) -> DataFrame:
+def _classes_of_ids(spark: SparkSession, tables: common.Scratch, picked: DataFrame, similarity: float, large: int) -> DataFrame:
     """What classes() gives where texts that share an id differ: nodes are texts, and all texts of an id are in one class."""
     keyed = picked.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     found = classes(spark, keyed.select("row", "text").distinct(), similarity, large, "row").select(F.col("doc_id").alias("row"), "class_id")
-    placed = common.written(spark, keyed.select("doc_id", "row").distinct().join(found, "row").select("doc_id", "class_id").distinct(), "placed")
+    placed = tables.written(keyed.select("doc_id", "row").distinct().join(found, "row").select("doc_id", "class_id").distinct(), "placed")
     links = placed.join(placed.groupBy("doc_id").agg(F.min("class_id").alias("a")), "doc_id").select("a", F.col("class_id").alias("b"))
-    joined = components.roots(spark, links).select(F.col("node").alias("class_id"), "root")
+    joined = components.roots(tables, links).select(F.col("node").alias("class_id"), "root")
     placed = placed.join(joined, "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("root")).distinct()
-    placed = common.written(spark, placed, "placed")
+    placed = tables.written(placed, "placed")
     named = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
-    out = picked.select("doc_id").join(named, "doc_id", "left")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("class_size")).alias("class_size"))
+    return _with_sizes(tables.written(picked.select("doc_id").join(named, "doc_id", "left"), "found"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, null_ids: bool = False) -> DataFrame:
@@ -250,22 +259,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, null_ids: bool = False) ->
     or take part behind all others if null_ids is set; those without words stay. All columns are kept.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", F.xxhash64("__id", text))
-    worded = text.rlike(r"[0-9A-Za-z_]|[^\x00-\x7f]")
-    part = keyed.filter(F.col("__id").isNotNull() | (worded if null_ids else F.lit(False)))
-    found = common.written(spark, classes(spark, part, id_col="__row").withColumnRenamed("doc_id", "__row"), "classes")
-    several = common.written(spark, found.filter("class_size > 1").select("__row", "class_id").distinct(), "several")
-    members = common.written(spark, part.select("__row", "__id").distinct().join(few(several), "__row"), "members")
-    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__row")).alias("first"))
-    first = common.written(spark, first.select("class_id", F.col("first.__row").alias("first")), "first")
-    gone = common.written(spark, members.join(few(first), "class_id").filter("__row <> first").select("__row").distinct(), "gone")
-    kept = keyed.join(few(gone), "__row", "left_anti")
-    repeated = common.written(spark, found.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__row"), "repeated")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
+    worded = F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7f]")
+    part = keyed.filter(F.col("id").isNotNull() | (worded if null_ids else F.lit(False))).select("id", "key", "text")
+    found = classes(spark, part, id_col="key").withColumnRenamed("doc_id", "key")
+    several = common.written(spark, found.filter("class_size > 1").select("key", "class_id").distinct(), "several")
+    members = common.written(spark, part.select("key", "id").distinct().join(few(several), "key"), "members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    first = common.written(spark, first.select("class_id", F.col("first.key").alias("first")), "first")
+    gone = common.written(spark, members.join(few(first), "class_id").filter("key <> first").select("key").distinct(), "gone")
+    kept = keyed.join(few(gone), "key", "left_anti").select("key", "doc")
+    repeated = common.written(spark, found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select("doc.*")
     again = few(repeated)
-    once = kept.join(again, "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.join(again, "__row", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(again, "key", "left_anti").select("doc.*").unionByName(once.select("doc.*"))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,31 @@ def test_classes_of_an_id_with_several_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.class_size) for r in neardup.classes(spark, docs, large=3).collect())
     assert got == sorted([(-1, None, None), (50, 50, 1), *((i, 0, 13) for i, _ in crowd), (3, 0, 13)])
+
+
+def test_every_similar_pair_of_the_documents_is_in_one_class(spark):
+    import re
+    from collections import Counter, defaultdict
+
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall("[0-9a-z_\x80-\U0010ffff]+", (r.text or "").lower())
+        sets[r.doc_id] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for shingle in s:
+            holders[shingle].append(i)
+    met = {p for own in holders.values() for p in combinations(own, 2)}
+    shared = {(i, j): sum((sets[i] & sets[j]).values()) for i, j in met}
+    pairs = [(i, j) for (i, j), c in shared.items() if c >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - c)]
+    of = {r.doc_id: r.class_id for r in neardup.classes(spark, docs).collect()}
+    assert len(pairs) > 20 and all(of[i] == of[j] for i, j in pairs)
+    root = {i: i for i in sets}
+    for _ in root:
+        moved = [(max(root[i], root[j]), min(root[i], root[j])) for i, j in pairs if root[i] != root[j]]
+        if not moved:
+            break
+        for high, low in moved:
+            root = {k: low if v == high else v for k, v in root.items()}
+    assert of == root
