@@ -26,10 +26,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, decided row by row: ids may be null or shared."""
     leaks = decontam.row_leaks(spark, docs, common.table(spark, sf_dir, "benchmark"))
-    leaked = common.written(spark, leaks.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct(), "leaked")
-    keyed = docs.withColumn("__key", decontam.text_key())
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
-    return keyed.join(neardup.few(leaked), own, "left_anti").select(*docs.columns)
+    leaked = common.written(spark, leaks.select("doc_id", "row").distinct(), "leaked")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), decontam.text_key().alias("key"))
+    own = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row"))
+    return keyed.join(neardup.few(leaked), own, "left_anti").select("doc.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
