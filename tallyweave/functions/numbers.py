@@ -28,7 +28,7 @@ def canonical_decimal(c: Column) -> Column:
         .when(body.rlike(r"^[0-9]{1,3}((,[0-9]{3})+|([.][0-9]{3})+)$"), F.regexp_replace(body, "[,.]", ""))
         .when(body.rlike(r"^[0-9]+[.,][0-9]+$"), F.replace(body, F.lit(","), F.lit(".")))
     )
-    valid = (signs <= 1) & ~F.substring(kept, 2, 1_000).rlike(r"[+\-]") & ~(bracketed & (signs == 1))
+    valid = (signs <= 1) & ~kept.rlike(r"^.+[+\-]") & ~(bracketed & (signs == 1))
     negative = bracketed | kept.startswith("-")
     return F.when(valid, F.concat(F.when(negative, "-").otherwise(""), F.regexp_replace(plain, "^0+([0-9])", "$1")))
 

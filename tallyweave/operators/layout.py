@@ -89,7 +89,7 @@ def bounds(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def _score(kind: str) -> Column:
+def nearness(kind: str) -> Column:
     """Nearness of value box v to label box l: below in the same columns, or right of it in the same rows."""
     col = lambda n: F.col(n)
     height = F.greatest(F.lit(1), col("l.y1") - col("l.y0"), col("v.y1") - col("v.y0"))
@@ -109,7 +109,7 @@ def _score(kind: str) -> Column:
 def nearest_values(labels: DataFrame, values: DataFrame, kind: str = "text") -> DataFrame:
     """For each label (doc_id, page, path, ...) that is alone on its path, the one value nearest to it, if no other is as near."""
     alone = exactly_one(labels, ["doc_id", "path"])
-    pairs = alone.alias("l").join(values.alias("v"), PAGE).filter(F.col("l.id") != F.col("v.id")).withColumn("score", _score(kind)).filter("score IS NOT NULL")
+    pairs = alone.alias("l").join(values.alias("v"), PAGE).filter(F.col("l.id") != F.col("v.id")).withColumn("score", nearness(kind)).filter("score IS NOT NULL")
     picked = pairs.select("doc_id", "page", F.col("l.path").alias("path"), F.col("l.id").alias("label_id"), F.col("v.id").alias("value_id"), F.col("v.text").alias("text"), "score")
     return unique_best(picked, ["doc_id", "path"], ["score"])
 
@@ -133,7 +133,7 @@ def trusted_fields(spans: DataFrame, unicode: bool = False) -> DataFrame:
     fits = (F.col("l.path") != "payment.status") | T.label_text(F.col("v.text"), unicode).isin(*STATUS_WORDS)
     for path, shape in needs:
         fits = fits & ((F.col("l.path") != path) | F.col("v.text").rlike(shape))
-    scored = pairs.filter(fits).withColumn("score", _score("text")).filter("score IS NOT NULL")
+    scored = pairs.filter(fits).withColumn("score", nearness("text")).filter("score IS NOT NULL")
     picked = scored.select("doc_id", F.col("l.path").alias("path"), F.col("l.id").alias("label_id"), F.col("v.id").alias("value_id"), F.trim("v.text").alias("value"), "score")
     best = unique_best(picked, ["doc_id", "path"], ["score"])
     name = T.contact_name(F.col("value"))
@@ -234,8 +234,8 @@ def table_columns(headers: DataFrame, pages: DataFrame) -> DataFrame:
 def table_cells(spans: DataFrame, pages: DataFrame, unicode: bool = False) -> DataFrame:
     """Cells of the item table of each page: doc_id, page, row, role, text, evidence_ids. Rows are anchored by SKU cells.
 
-    Columns and row anchors of a page are a few numbers each. They travel with its spans as arrays, so that
-    one exchange of the spans by page serves the whole inference and no span meets all rows and columns.
+    The columns of a page are a few numbers, which travel with its spans; row bands come from windows over the
+    page. So one exchange of the spans by page serves the whole inference and no span meets all rows.
     """
     columns = table_columns(header_groups(spans, unicode), pages)
     sku = F.max(F.when(F.col("role") == "sku", F.struct("x0", "x1", "header_id")))
@@ -248,12 +248,19 @@ def table_cells(spans: DataFrame, pages: DataFrame, unicode: bool = False) -> Da
     label = F.col("text").rlike(r"\p{L}") & T.header_text(F.col("text"), unicode).isin(*TABLE_END)
     placed = placed.withColumn("bottom", F.coalesce(F.floor(F.min(F.when(under & label, F.col("cy"))).over(whole)), "height"))
     anchor = under & (F.col("cy") < F.col("bottom")) & (F.col("cx") >= F.col("sku.x0")) & (F.col("cx") < F.col("sku.x1")) & (F.col("id") != F.col("sku.header_id"))
-    anchors = F.transform(F.array_sort(F.collect_list(F.when(anchor, F.struct("cy", "reading_order"))).over(whole)), lambda x: x["cy"])
-    placed = placed.withColumn("anchors", anchors).filter(F.size("anchors") > 0)
-    at = lambda i: F.get("anchors", i)
-    middle = lambda i, j: F.floor((at(i) + at(j)) / 2)
-    inside = lambda i: (F.col("cy") > F.coalesce(middle(i - 1, i), "top")) & (F.col("cy") < F.coalesce(middle(i, i + 1), "bottom"))
-    row = F.get(F.filter(F.sequence(F.lit(0), F.size("anchors") - 1), inside), F.lit(0))
+    placed = placed.withColumn("anchor", F.coalesce(anchor, F.lit(False)))
+    # the band of an anchor lies between the middles to its neighbours; a span is in the band of the anchor before or behind it
+    among = Window.partitionBy(*PAGE, "anchor").orderBy("cy", "reading_order")
+    middle = lambda a, b: F.floor((a + b) / 2)
+    low = F.coalesce(middle(F.lag("cy").over(among), F.col("cy")), "top")
+    high = F.coalesce(middle(F.col("cy"), F.lead("cy").over(among)), "bottom")
+    band = F.struct((F.row_number().over(among) - 1).alias("row"), low.alias("low"), high.alias("high"))
+    placed = placed.withColumn("band", band).withColumn("band", F.when(F.col("anchor"), F.col("band")))
+    down = whole.orderBy("cy", F.desc("anchor"), "reading_order").rowsBetween(Window.unboundedPreceding, 0)
+    up = whole.orderBy(F.desc("cy"), "anchor", F.desc("reading_order")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("above", F.last("band", True).over(down)).withColumn("below", F.last("band", True).over(up))
+    inside = lambda b: (F.col("cy") > F.col(f"{b}.low")) & (F.col("cy") < F.col(f"{b}.high"))
+    row = F.when(inside("above"), F.col("above.row")).when(inside("below"), F.col("below.row"))
     role = F.get(F.filter("columns", lambda c: (F.col("cx") >= c["x0"]) & (F.col("cx") < c["x1"])), F.lit(0))["role"]
     in_cell = placed.select(*PAGE, row.alias("row"), role.alias("role"), "y0", "x0", "reading_order", "text", "id").filter("row IS NOT NULL AND role IS NOT NULL")
     ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "reading_order", "text", "id")))

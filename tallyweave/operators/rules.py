@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as T
 
 ERROR, WARNING = "error", "warning"
 SUPPORTED_STATUS = ("PAID", "UNPAID")
 
 
-def issue(rows: DataFrame, when: Column, code: str, path: Column | str, message: str, severity: str = ERROR) -> DataFrame:
+def issue(rows: DataFrame, when: Column, code: str, path: Column | str, message: Column | str, severity: str = ERROR) -> DataFrame:
     """One issue for each row for which the condition holds."""
-    at = F.lit(path) if isinstance(path, str) else path
-    return rows.filter(when).select("doc_id", F.lit(code).alias("code"), at.alias("path"), F.lit(message).alias("message"), F.lit(severity).alias("severity"))
+    at, said = (F.lit(x) if isinstance(x, str) else x for x in (path, message))
+    return rows.filter(when).select("doc_id", F.lit(code).alias("code"), at.alias("path"), said.alias("message"), F.lit(severity).alias("severity"))
 
 
 def together(*issues: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def confidence_issues(evidence: DataFrame) -> DataFrame:
     )
 
 
-#: Warnings of an image's quality by what falls short.
+#: Warnings of an image's quality by what falls short.
 IMAGE_LIMITS = (("width", 800, "LOW_RESOLUTION"), ("blur", 75, "BLURRED"), ("contrast", 32, "LOW_CONTRAST"))
 
 
@@ -74,24 +75,79 @@ def image_issues(quality: DataFrame) -> DataFrame:
     return together(*(issue(quality, F.col(c) < limit, "IMAGE_QUALITY_WARNING", "image", name, WARNING) for c, limit, name in IMAGE_LIMITS))
 
 
+#: Paths that need evidence.
 CRITICAL_FIELDS = ("order_date", "external_reference", "debtor.billing_address.zip", "debtor.billing_address.city", "payment.method", "payment.status", "totals.total_net", "totals.total_vat", "totals.total_gross")
 CRITICAL_ITEM_FIELDS = ("sku", "quantity", "unit_net_price", "vat_percent", "discount_percent", "source_total")
 
 
 def critical_paths(orders: DataFrame) -> DataFrame:
-    """(doc_id, path) of what needs evidence; orders has doc_id, n_items, status."""
+    """(doc_id, critical): the paths that need evidence, as an array; orders has doc_id, n_items, status."""
     fixed = F.array(*map(F.lit, CRITICAL_FIELDS))
     item = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_items") - 1, F.lit(0))), lambda i: F.array(*(item_path(i, f) for f in CRITICAL_ITEM_FIELDS))))
     date = F.when(F.col("status") == "PAID", F.array(F.lit("payment.payment_date"))).otherwise(F.array().cast("array<string>"))
     every = F.concat(fixed, date, F.when(F.col("n_items") > 0, item).otherwise(F.array().cast("array<string>")))
-    return orders.select("doc_id", F.explode(every).alias("path"))
+    return orders.select("doc_id", every.alias("critical"))
 
 
 def missing_evidence(critical: DataFrame, grounded: DataFrame) -> DataFrame:
-    """One issue for each document with critical paths that no evidence grounds; the paths sorted."""
-    gaps = critical.join(grounded.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
-    lists = gaps.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("paths"))
-    return lists.select("doc_id", F.lit("MISSING_CRITICAL_EVIDENCE").alias("code"), F.lit("evidence").alias("path"), F.col("paths").alias("message"), F.lit(ERROR).alias("severity"))
+    """One issue for each document with critical paths that no evidence grounds; the paths sorted. grounded is (doc_id, path)."""
+    lists = grounded.groupBy("doc_id").agg(F.collect_set("path").alias("grounded"))
+    gaps = F.array_except("critical", F.coalesce("grounded", F.array().cast("array<string>")))
+    left = critical.join(lists, "doc_id", "left").select("doc_id", F.array_sort(gaps).alias("gaps")).filter(F.size("gaps") > 0)
+    return left.select("doc_id", F.lit("MISSING_CRITICAL_EVIDENCE").alias("code"), F.lit("evidence").alias("path"), F.array_join("gaps", ", ").alias("message"), F.lit(ERROR).alias("severity"))
+
+
+def whole_order_issues(orders: DataFrame) -> DataFrame:
+    """Orders without items or without anybody to bill; orders has doc_id, n_items, company, first_name, last_name."""
+    nobody = (F.coalesce(F.col("company"), F.lit("")) == "") & (F.coalesce(F.col("first_name"), F.lit("")) == "") & (F.coalesce(F.col("last_name"), F.lit("")) == "")
+    return together(
+        issue(orders, F.coalesce(F.col("n_items"), F.lit(0)) == 0, "MISSING_ORDER_ITEMS", "items", "no items"),
+        issue(orders, nobody, "MISSING_DEBTOR_IDENTITY", "debtor", "no company or name"),
+    )
+
+
+def name_split_issues(names: DataFrame, spans: DataFrame, unicode: bool = False) -> DataFrame:
+    """First and last names that share evidence and do not stand apart in it.
+
+    names has doc_id, first_name, first_ids, last_name, last_ids. Where the shared text lacks one of the two, other evidence holds it.
+    """
+    asked = names.filter("first_name <> '' AND last_name <> ''").select("doc_id", "first_name", "last_name", F.array_intersect("first_ids", "last_ids").alias("shared")).filter(F.size("shared") > 0)
+    cited = asked.select("doc_id", F.posexplode("shared").alias("pos", "id")).join(spans.select("doc_id", "id", "text"), ["doc_id", "id"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    source = cited.groupBy("doc_id").agg(joined.alias("source"))
+    key = lambda c: T.source_text(F.col(c), unicode)
+    both = asked.join(source, "doc_id").select("doc_id", key("source").alias("source"), key("first_name").alias("first"), key("last_name").alias("last"))
+    wrong = F.col("source").contains(F.col("first")) & F.col("source").contains(F.col("last")) & ~T.disjoint_occurrences(F.col("source"), F.col("first"), F.col("last"))
+    return issue(both, wrong, "INVALID_PERSON_NAME_SPLIT", "debtor.first_name", "first and last name overlap")
+
+
+def identifier_review(quality: DataFrame) -> DataFrame:
+    """Item numbers of images of low resolution have to be looked at; quality has doc_id, width, n_items."""
+    low = quality.filter(F.col("width") < dict((c, limit) for c, limit, _ in IMAGE_LIMITS)["width"]).filter("n_items > 0")
+    items = low.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n_items").cast("int") - 1)).alias("pos"))
+    return issue(items, F.lit(True), "LOW_RESOLUTION_IDENTIFIER_REVIEW", item_path(F.col("pos"), "sku"), "low resolution", WARNING)
+
+
+def parser_issues(orders: DataFrame) -> DataFrame:
+    """Orders read by fixed coordinates may be looked at, but authorise nothing."""
+    return issue(orders, F.lit(True), "LEGACY_COORDINATE_PARSER", "parser", "diagnostics only", WARNING)
+
+
+def ambiguity_issues(refusals: DataFrame) -> DataFrame:
+    """Runs that stopped because several records fit; refusals has doc_id, message."""
+    return issue(refusals, F.lit(True), "WORKFLOW_AMBIGUITY", "workflow", F.col("message"))
+
+
+def coded(issues: DataFrame) -> DataFrame:
+    """Issues with their defaults: a code of no kind, an error."""
+    return issues.withColumn("code", F.coalesce("code", F.lit("VALIDATION_ISSUE"))).withColumn("severity", F.coalesce("severity", F.lit(ERROR)))
+
+
+def error_details(issues: DataFrame) -> DataFrame:
+    """What is said of each document with an error: all its issues as path and message, in the order of n."""
+    one = F.struct("n", F.concat_ws(": ", "path", "message").alias("text"))
+    said = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max(F.col("severity") == ERROR).alias("failed"))
+    return said.filter("failed").select("doc_id", F.array_join(F.transform("all", lambda x: x["text"]), "; ").alias("details"))
 
 
 def report(documents: DataFrame, issues: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def q_claim_missing(spark, sf):
     orders = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
     headers = orders.join(headers, "doc_id", "left").select("doc_id", F.coalesce("item_count", F.lit(0)).alias("item_count"), (F.col("doc_id") % 2 == 0).alias("delivery"))
     every = claims.select("doc_id", "ord", "path", "value").unionByName(_header_claims(spark, sf))
-    return C.missing(every, headers, S.CLAIM_FIELDS).filter(~F.col("path").startswith("totals.") & ~F.col("path").startswith("debtor.billing_address"))
+    return C.missing(every, headers, S.CLAIM_FIELDS)
 
 
 def _trusted(spans, cells):
@@ -78,7 +78,7 @@ def q_claim_sanitize(spark, sf):
 
 def q_claim_pivot(spark, sf):
     claims = S.claim_tables(spark, sf)[0]
-    first = first_of(claims.filter("path <> 'items[500].sku'"), ["doc_id", "path"], ["ord"])
+    first = first_of(claims, ["doc_id", "path"], ["ord"])
     return C.pivot_items(first, S.CLAIM_FIELDS)
 
 
@@ -133,7 +133,7 @@ def q_last_wins(spark, sf):
 
 QUERIES = {f.__name__: f for f in (q_claim_verify_priority, q_claim_unknown_ids, q_claim_cell_mismatch, q_claim_missing, q_claim_merge, q_claim_merge_items, q_claim_repair, q_claim_sanitize, q_claim_pivot, q_claim_ground, q_placeholders, q_context_window, q_following_three, q_status_doubt, q_search_terms, q_first_wins_dedupe, q_last_wins)}
 
-_REQ = "['order_date', 'external_reference', 'currency', 'payment.method', 'payment.status']"
+_REQ = f"[{', '.join(repr(p) for p in C.REQUIRED_PATHS)}]"
 _TRUSTED = "(SELECT doc_id, reading_order AS ord, concat('items[', row, '].quantity') AS path, text AS value, id AS evidence_ids FROM cells WHERE role = 'quantity')"
 _CLAIM = "SELECT c.doc_id, c.ord, c.path, c.value, coalesce(c.eid, '') AS evidence_ids FROM claims c"
 
@@ -160,8 +160,9 @@ UNION ALL SELECT o_orderkey, 'MISSING_CONDITIONAL_CLAIM', 'payment.payment_date'
     "q_claim_merge": oracle(f"{_CLAIM} ANTI JOIN {_TRUSTED} t ON c.doc_id = t.doc_id AND c.path = t.path UNION ALL SELECT * FROM {_TRUSTED}", "claims"),
     "q_claim_merge_items": oracle(f"{_CLAIM} ANTI JOIN {_TRUSTED} t ON c.doc_id = t.doc_id AND c.path = t.path WHERE c.path <> 'items[500].sku' UNION ALL SELECT * FROM {_TRUSTED}", "claims"),
     "q_claim_repair": oracle(
-        f"""{_CLAIM} ANTI JOIN (SELECT * FROM checked WHERE code IS NOT NULL) i ON c.doc_id = i.doc_id AND c.path = i.path
-UNION ALL SELECT t.* FROM {_TRUSTED} t SEMI JOIN (SELECT * FROM checked WHERE code IS NOT NULL) i ON t.doc_id = i.doc_id AND t.path = i.path""",
+        f""", bad AS MATERIALIZED (SELECT DISTINCT doc_id, path FROM checked WHERE code IS NOT NULL)
+{_CLAIM} ANTI JOIN bad i ON c.doc_id = i.doc_id AND c.path = i.path
+UNION ALL SELECT t.* FROM {_TRUSTED} t SEMI JOIN bad i ON t.doc_id = i.doc_id AND t.path = i.path""",
         "claims",
     ),
     "q_claim_sanitize": oracle(
@@ -172,7 +173,7 @@ FROM firsts f LEFT JOIN notes n ON f.doc_id = n.doc_id AND f.path = n.path WHERE
         "claims",
     ),
     "q_claim_pivot": oracle(
-        """, firsts AS (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS INTEGER) AS item, split_part(path, '.', 2) AS field FROM claims WHERE path <> 'items[500].sku' QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY ord) = 1)
+        """, firsts AS (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS INTEGER) AS item, split_part(path, '.', 2) AS field FROM claims QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY ord) = 1)
 SELECT doc_id, item, max(value) FILTER (WHERE field = 'sku') AS sku, max(value) FILTER (WHERE field = 'quantity') AS quantity, max(value) FILTER (WHERE field = 'unit_net_price') AS unit_net_price,
 max(value) FILTER (WHERE field = 'source_total') AS source_total FROM firsts GROUP BY doc_id, item""",
         "claims",

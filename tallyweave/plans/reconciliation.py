@@ -65,7 +65,7 @@ def q_missing_evidence(spark, sf):
     counts = S.items(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
     orders = S.orders(spark, sf).join(counts, "doc_id", "left").na.fill(0, ["n_items"])
     critical = rules.critical_paths(orders)
-    grounded = critical.filter(F.pmod(F.length("path") + F.col("doc_id"), F.lit(9)) != 0)
+    grounded = critical.select("doc_id", F.explode("critical").alias("path")).filter(F.pmod(F.length("path") + F.col("doc_id"), F.lit(9)) != 0)
     return rules.missing_evidence(critical, grounded)
 
 

@@ -57,6 +57,6 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 
 ORACLES = {
     "q_batch_sessions": _SESSIONS,
-    "q_order_json": S.oracle("SELECT doc_id, CAST(sum(net) AS DECIMAL(18,2)) AS total_net, CAST(sum(line_vat) AS DECIMAL(18,2)) AS total_vat, CAST(sum(net) + sum(line_vat) AS DECIMAL(18,2)) AS total_gross, count(*) AS n_items FROM lines WHERE doc_id < 200 GROUP BY doc_id", "lines"),
+    "q_order_json": S.oracle("SELECT doc_id, CAST(sum(net) AS DECIMAL(18,2)) AS total_net, CAST(sum(line_vat) AS DECIMAL(18,2)) AS total_vat, CAST(sum(net) + sum(line_vat) AS DECIMAL(18,2)) AS total_gross, count(*) AS n_items FROM lines GROUP BY doc_id", "lines"),
     "q_answer_object": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS answer, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM events",
 }

@@ -150,7 +150,7 @@ def q_review_packet(spark, sf):
 
 
 def q_normalize_text(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", T.normalize_text(F.substring("text", 1, 1_000_000_000), unicode=False).alias("key"))
+    return S.table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text"), unicode=False).alias("key"))
 
 
 def q_normalize_unicode(spark, sf):
