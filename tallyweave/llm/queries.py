@@ -9,6 +9,7 @@ from .pieces import op9_sentencepiece
 from .pii import op6_pii
 from .repeats import op8_suffix_repeats
 from .secrets import op2_secret_scan
+from .simhash import op13_simhash
 from .tokenids import op1_token_ids
 from .topk import OP4_SQL, op4_exact_topk
 from .toxicity import op3_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_repeats": op8_suffix_repeats,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_bagminhash": op10_bagminhash,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {
