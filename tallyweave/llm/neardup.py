@@ -239,9 +239,35 @@ def _classes(spark: SparkSession, tables: common.Scratch, docs: DataFrame, simil
     return _with_sizes(tables.written(found, "found"))
 
 
+def _hashed(*columns):
+    return F.xxhash64(*columns)
+
+
+def with_row_keys(spark: SparkSession, tables: common.Scratch, rows: DataFrame) -> DataFrame:
+    """rows (id, text, ...) with key: a 64-bit number for each different (id, text), exact as far as 128 bits tell rows apart.
+
+    64 bits alone would meet by chance among some 1e10 rows. So both halves of a 128-bit hash are written, and
+    first halves that stand for several rows give way to numbers of their own; the search is repeated until none is left.
+    """
+    one, two = _hashed("id", "text"), F.xxhash64("text", "id", F.lit(1))
+    halves = tables.written(rows.select(one.alias("key"), two.alias("two")).distinct(), "halves")
+    keyed, turn = rows.withColumns({"key": one, "two": two}), 0
+    while True:
+        shared = tables.written(halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
+        if shared.isEmpty():
+            return keyed.drop("two")
+        turn += 1
+        # the result reads these few keys, so they outlive the scratch tables
+        marked = few(common.written(spark, shared, "shared")).withColumn("shared", F.lit(True))
+        apart = F.when(F.col("shared"), F.xxhash64("key", "two", F.lit(turn))).otherwise(F.col("key"))
+        halves = tables.written(halves.join(marked, "key", "left").select(apart.alias("key"), "two"), "halves")
+        keyed = keyed.join(marked, "key", "left").withColumn("key", apart).drop("shared")
+
+
 def _classes_of_ids(spark: SparkSession, tables: common.Scratch, picked: DataFrame, similarity: float, large: int) -> DataFrame:
     """What classes() gives where texts that share an id differ: nodes are texts, and all texts of an id are in one class."""
-    keyed = picked.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    known = picked.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+    keyed = with_row_keys(spark, tables, known).select(F.col("id").alias("doc_id"), F.col("key").alias("row"), "text")
     found = classes(spark, keyed.select("row", "text").distinct(), similarity, large, "row").select(F.col("doc_id").alias("row"), "class_id")
     placed = tables.written(keyed.select("doc_id", "row").distinct().join(found, "row").select("doc_id", "class_id").distinct(), "placed")
     links = placed.join(placed.groupBy("doc_id").agg(F.min("class_id").alias("a")), "doc_id").select("a", F.col("class_id").alias("b"))
@@ -253,28 +279,31 @@ def _classes_of_ids(spark: SparkSession, tables: common.Scratch, picked: DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, null_ids: bool = False) -> DataFrame:
-    """docs with one row of each class: the one with the least id and, of several texts of that id, the least hash.
+    """docs with one row of each class: the one with the least id and, of several texts of that id, the least key.
 
     Rows are told apart by id and text, and of rows equal in both one stays. Rows with null ids all stay,
     or take part behind all others if null_ids is set; those without words stay. All columns are kept.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
-    worded = F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7f]")
-    part = keyed.filter(F.col("id").isNotNull() | (worded if null_ids else F.lit(False))).select("id", "key", "text")
-    found = classes(spark, part, id_col="key").withColumnRenamed("doc_id", "key")
-    several = common.written(spark, found.filter("class_size > 1").select("key", "class_id").distinct(), "several")
-    members = common.written(spark, part.select("key", "id").distinct().join(few(several), "key"), "members")
-    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
-    first = common.written(spark, first.select("class_id", F.col("first.key").alias("first")), "first")
-    gone = common.written(spark, members.join(few(first), "class_id").filter("key <> first").select("key").distinct(), "gone")
-    kept = keyed.join(few(gone), "key", "left_anti").select("key", "doc")
-    repeated = common.written(spark, found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated")
+    with common.Scratch(spark) as tables:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+        keyed = with_row_keys(spark, tables, rows)
+        worded = F.col("text").rlike(r"[0-9A-Za-z_]|[^\x00-\x7f]")
+        part = keyed.filter(F.col("id").isNotNull() | (worded if null_ids else F.lit(False))).select("id", "key", "text")
+        found = tables.written(classes(spark, part, id_col="key").withColumnRenamed("doc_id", "key"), "found")
+        several = tables.written(found.filter("class_size > 1").select("key", "class_id").distinct(), "several")
+        members = tables.written(part.select("key", "id").distinct().join(few(several), "key"), "members")
+        first = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+        first = tables.written(first.select("class_id", F.col("first.key").alias("first")), "first")
+        # what the result reads stays: keys of rows that go, and of rows that repeat
+        gone = common.written(spark, members.join(few(first), "class_id").filter("key <> first").select("key").distinct(), "gone")
+        kept = keyed.join(few(gone), "key", "left_anti").select("key", "doc")
+        repeated = common.written(spark, found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated")
     if repeated.isEmpty():
         return kept.select("doc.*")
     again = few(repeated)
     once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
-    return kept.join(again, "key", "left_anti").select("doc.*").unionByName(once.select("doc.*"))
+    return kept.join(again, "key", "left_anti").unionByName(once).select("doc.*")
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,16 @@ def test_every_similar_pair_of_the_documents_is_in_one_class(spark):
         for high, low in moved:
             root = {k: low if v == high else v for k, v in root.items()}
     assert of == root
+
+
+# 10 ---------------------------------------------------------------- row keys
+def test_rows_whose_hashes_meet_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "_hashed", lambda *c: F.pmod(F.xxhash64(*c), F.lit(3)))
+    texts = [f"words that nobody else has {i} a{i} b{i} c{i} d{i} e{i}" for i in range(8)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "again"), (20, texts[5], "copy"), (None, "none of these words is here", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = neardup.one_of_each(spark, docs, null_ids=True)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == list(range(8))
+    assert kept.filter("doc_id IS NULL").count() == 1 and kept.columns == docs.columns
