@@ -123,17 +123,23 @@ COUNTRY_POSTAL = (
 )
 
 
+def postal_city_of(source: Column, country: Column) -> Column:
+    """(postal, city) of a bare line in the form of its country, else null; both are normalised already."""
+    shapes: dict[str, tuple[str, int]] = {}
+    for countries, pattern, p in COUNTRY_POSTAL:
+        for name in countries:
+            shapes.setdefault(name, (pattern, p))
+    # the shape is looked up, so that the line is matched once however many countries there are
+    table = F.create_map(*(x for name, (pattern, p) in shapes.items() for x in (F.lit(name), F.struct(F.lit(pattern).alias("pattern"), F.lit(p).alias("at")))))
+    shape = F.try_element_at(table, country)
+    part = lambda n: F.call_function("regexp_extract", source, shape["pattern"], n)
+    postal, city = F.upper(collapsed(part(shape["at"]))), bare(collapsed(part(3 - shape["at"])))
+    return F.when(postal.rlike("[0-9]") & city.rlike(r"\p{L}"), F.struct(postal.alias("postal"), city.alias("city")))
+
+
 def postal_city_in(c: Column, country: Column, unicode: bool = False) -> Column:
     """(postal, city) of a line in the form of its country, else null."""
-    source, key = bare(source_text(c, unicode)), normalize_text(country, unicode)
-    out = None
-    for countries, pattern, p in COUNTRY_POSTAL:
-        postal = F.upper(collapsed(F.regexp_extract(source, pattern, p)))
-        city = bare(collapsed(F.regexp_extract(source, pattern, 3 - p)))
-        good = source.rlike(pattern) & postal.rlike("[0-9]") & city.rlike(r"\p{L}")
-        value = F.when(good, F.struct(postal.alias("postal"), city.alias("city")))
-        out = F.when(key.isin(*countries), value) if out is None else out.when(key.isin(*countries), value)
-    return out
+    return postal_city_of(bare(source_text(c, unicode)), normalize_text(country, unicode))
 
 
 def component_matches(value: Column, component: Column, other: Column, unicode: bool = False) -> Column:

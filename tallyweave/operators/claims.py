@@ -106,7 +106,7 @@ def canonical(kind: str, value: Column, unicode: bool = False) -> Column:
 def with_evidence(claims: DataFrame, spans: DataFrame, cells: DataFrame) -> DataFrame:
     """Claims with what their evidence says: unknown ids, joined texts, and whether cells disagree with the item path.
 
-    Adds unknown (array), joined, glued, mapped, mismatched, has_cells. One pass over the exploded ids serves all.
+    Adds unknown (array), texts (array), joined, glued, mapped, mismatched, has_cells. One pass over the exploded ids serves all.
     """
     cited = claims.select("doc_id", "ord", F.posexplode_outer("evidence_ids").alias("at", "id"), item_index(F.col("path")).alias("i"), item_field(F.col("path")).alias("f"))
     found = cited.join(spans.select("doc_id", "id", "text"), ["doc_id", "id"], "left").join(cells.select("doc_id", "id", "row", "role"), ["doc_id", "id"], "left")
@@ -114,7 +114,7 @@ def with_evidence(claims: DataFrame, spans: DataFrame, cells: DataFrame) -> Data
     wrong = F.col("row").isNotNull() & ((F.col("row") != F.col("i")) | (F.col("role") != F.col("f")))
     sums = found.groupBy("doc_id", "ord").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull() & F.col("text").isNull(), F.struct("at", "id")))), lambda x: x["id"]).alias("unknown"),
-        F.array_join(texts, " ").alias("joined"), F.array_join(texts, "").alias("glued"),
+        texts.alias("texts"), F.array_join(texts, " ").alias("joined"), F.array_join(texts, "").alias("glued"),
         F.count("row").alias("mapped"), F.count_if(wrong).alias("mismatched"),
     )
     tabled = cells.select("doc_id").distinct().withColumn("has_cells", F.lit(True))
@@ -311,7 +311,11 @@ def ground(claims: DataFrame, spans: DataFrame, cells: DataFrame, required: Colu
 
     Unlike `verify`, evidence outside the table does not contradict an item path.
     """
-    seen = with_evidence(claims, spans, cells)
+    return ground_seen(with_evidence(claims, spans, cells), required, unicode)
+
+
+def ground_seen(seen: DataFrame, required: Column, unicode: bool = False) -> DataFrame:
+    """The issues of `ground` for claims that have what `with_evidence` adds."""
     there, doubt = has_value(F.col("value")), F.col("ambiguity").isNotNull()
     value, joined, glued, path = F.col("value"), F.col("joined"), F.col("glued"), F.col("path")
     holds = F.when(path == "payment.status", proven("status", value, joined, glued, unicode)).otherwise(supported(path, value, joined, glued, unicode))
