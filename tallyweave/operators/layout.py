@@ -143,20 +143,27 @@ def trusted_fields(spans: DataFrame, unicode: bool = False) -> DataFrame:
     return best.select("doc_id", F.explode(F.coalesce(parts, plain)).alias("c"), "label_id", "value_id").select("doc_id", "c.path", "c.value", "label_id", "value_id").filter("value IS NOT NULL")
 
 
-def address_columns(spans: DataFrame, heights: DataFrame, unicode: bool = False) -> DataFrame:
-    """Spans under two side-by-side address headings: doc_id, page, kind and the span; heights has (doc_id, page, height)."""
+def address_heads(spans: DataFrame, unicode: bool = False) -> DataFrame:
+    """Documents with one billing and one delivery heading side by side on one page: their centres, bottoms and the line between them."""
     label = T.label_text(F.col("text"), unicode)
     marked = spans.withColumn("label", label)
     kinds = marked.withColumn("kind", F.when(F.col("label").isin(*BILLING_LABELS), "billing").when(F.col("label").isin(*DELIVERY_LABELS), "delivery")).filter("kind IS NOT NULL")
     cx = center("x0", "x1")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
-    heads = (
+    return (
         kinds.groupBy("doc_id")
         .agg(F.count_if(F.col("kind") == "billing").alias("b"), F.count_if(F.col("kind") == "delivery").alias("d"), F.countDistinct("page").alias("pages"), F.max("page").alias("page"),
              pick("billing", cx).alias("bx"), pick("delivery", cx).alias("dx"), pick("billing", F.col("y1")).alias("by"), pick("delivery", F.col("y1")).alias("dy"))
         .filter("b = 1 AND d = 1 AND pages = 1 AND bx <> dx")
         .select("doc_id", "page", "bx", "dx", "by", "dy", ((F.col("bx") + F.col("dx")) / 2).alias("divider"))
     )
+
+
+def address_columns(spans: DataFrame, heights: DataFrame, unicode: bool = False) -> DataFrame:
+    """Spans under two side-by-side address headings: doc_id, page, kind and the span; heights has (doc_id, page, height)."""
+    marked = spans.withColumn("label", T.label_text(F.col("text"), unicode))
+    cx = center("x0", "x1")
+    heads = address_heads(spans, unicode)
     ends = marked.filter(F.col("label").isin(*SECTION_ENDS)).select(*PAGE, "y0")
     bottom = heads.join(ends, PAGE, "left").groupBy(*heads.columns).agg(F.min(F.when(F.col("y0") > F.greatest("by", "dy"), F.col("y0"))).alias("end"))
     bottom = bottom.join(heights.select(*PAGE, "height"), PAGE, "left").withColumn("end", F.coalesce("end", "height"))

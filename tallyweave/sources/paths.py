@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
@@ -35,3 +36,32 @@ def work_path(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Stages:
+    """The steps of one run as tables below a folder. A step that was committed is read; it is neither planned nor made again.
+
+    A run that ended early goes on where it stopped if it is given its folder again. Spark's own commit mark decides,
+    so that a step is there whole or is made anew. The inputs of a folder's run have to be the same each time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or work_path(spark, "run")).rstrip("/")
+
+    def _path(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def committed(self, name: str) -> bool:
+        system, mark = self._path(name)
+        return system.exists(mark)
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not self.committed(name):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        """Deletes the run's tables."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
