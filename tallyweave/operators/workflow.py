@@ -127,3 +127,27 @@ def review_packet(issues: DataFrame, evidence: DataFrame, drafts: DataFrame, wid
         F.least(F.lit(width), F.col("e.x1") + pad).alias("x1"), F.least(F.lit(height), F.col("e.y1") + pad).alias("y1"),
         T.safe_name(F.col("path")).alias("crop"),
     )
+
+
+def judged(events: DataFrame) -> DataFrame:
+    """(workflow_id, seq, state, prior_state, legal) of events (workflow_id, ts, event_id, state), in order of time and id.
+
+    A state is legal if it follows its predecessor on the path, or ends the run, and nothing follows an end. The k-th state
+    counts where it first comes after the one before it: one window a state over the same sorted rows, no loop over events.
+    """
+    order = Window.partitionBy("workflow_id").orderBy("ts", "event_id")
+    whole = Window.partitionBy("workflow_id")
+    rows = events.filter("workflow_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").select("workflow_id", F.coalesce("state", F.lit("")).alias("state"), (F.row_number().over(order) - 1).cast("long").alias("seq"))
+    rows = rows.withColumn("end", F.min(F.when(F.col("state").isin(*ENDS), F.col("seq"))).over(whole))
+    hit = F.lit(-1)
+    for n, name in enumerate(HAPPY_PATH):
+        # without the one before there is no next
+        rows = rows.withColumn(f"at{n}", F.min(F.when((F.col("state") == name) & (F.col("seq") > hit), F.col("seq"))).over(whole))
+        hit = F.col(f"at{n}")
+    before_end = F.col("end").isNull() | (F.col("seq") < F.col("end"))
+    on_path = F.coalesce(F.array_contains(F.array(*(F.col(f"at{n}") for n in range(len(HAPPY_PATH)))), F.col("seq")), F.lit(False)) & before_end
+    finished = F.coalesce(F.col(f"at{len(HAPPY_PATH) - 1}") < F.col("end"), F.lit(False))
+    legal = on_path | (F.coalesce(F.col("seq") == F.col("end"), F.lit(False)) & ~finished)
+    done = rows.select("workflow_id", "seq", "state", legal.alias("legal"))
+    prior = F.last(F.when(F.col("legal"), F.col("state")), True).over(Window.partitionBy("workflow_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return done.select("workflow_id", "seq", "state", prior.alias("prior_state"), "legal")
