@@ -52,6 +52,12 @@ class LatestTable:
         found = _names(self.spark, f"{self.folder}/log", "batch=")
         return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/log/batch={b}" for b in found)) if found else self.spark.createDataFrame([], self.schema)
 
+    def batch(self, number: int) -> DataFrame:
+        """The rows of one batch, copied, so that they can be played again."""
+        copy = f"{self.folder}/copy={number}"
+        self.spark.read.schema(self.schema).parquet(f"{self.folder}/log/batch={number}").write.mode("overwrite").parquet(copy)
+        return self.spark.read.schema(self.schema).parquet(copy)
+
     def write(self, batch: DataFrame, number: int) -> None:
         """Takes one batch in; the same number again replaces what it wrote. For use with foreachBatch."""
         names = [f.strip().split(" ")[0] for f in self.schema.split(",")]
