@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import containment
+from .extraction import staged
+from .sequence import numbered
 
 #: Codes of payment methods that may be created.
 PAYMENT_CODES = {"bank transfer": "Credit transfer", "credit card": "Credit card", "sepa direct debit": "SEPA direct debit"}
@@ -91,18 +94,10 @@ def addresses_match(e: str, a: str, unicode: bool = False) -> Column:
 
 
 def created(wanted: DataFrame, existing: DataFrame, key: str, prefix: str) -> DataFrame:
-    """New records for keys that the master lacks, numbered on from its size: record_id, key.
-
-    The number is a rank over distinct missing keys: ranges are sorted apart and offset by the counts before them.
-    """
-    new = wanted.select(key).distinct().join(existing.select(key), key, "left_anti")
-    total = existing.agg(F.count(F.lit(1)).alias("base"))
-    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
-    placed = new.withColumn("bucket", bucket)
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy(key)) + F.col("before") + F.col("base")
-    return placed.join(F.broadcast(offsets), "bucket").join(F.broadcast(total)).select(F.concat(F.lit(f"{prefix}-"), number.cast("string")).alias("record_id"), key)
+    """New records for keys that the master lacks, numbered on from its size in the order of the keys: record_id, key."""
+    new = wanted.select(key).filter(F.col(key).isNotNull()).distinct().join(existing.select(key), key, "left_anti")
+    made = numbered(new, [key], "number", existing.count() + 1)
+    return made.select(F.concat(F.lit(f"{prefix}-"), F.col("number").cast("string")).alias("record_id"), key)
 
 
 #: Most queries of a substring search that are broadcast.
@@ -110,11 +105,16 @@ COPIED = 1_000
 
 
 def substring_search(queries: DataFrame, master: DataFrame, fields: list[str]) -> DataFrame:
-    """Records whose joined text contains the query, case-blind. queries has (query); up to COPIED of them are copied to the records, more meet them block by block. None is left out."""
+    """Records whose joined text contains the query, case-blind. queries has (query); up to COPIED of them are copied to the records, more meet them through an index of grams. None is left out."""
     text = F.lower(F.concat_ws(" ", *fields))
-    asked = queries.select("query").distinct()
-    asked = F.broadcast(asked) if asked.limit(COPIED + 1).count() <= COPIED else asked.hint("shuffle_replicate_nl")
-    return master.withColumn("__text", text).join(asked, F.expr("contains(__text, lower(trim(query)))")).drop("__text")
+    asked = queries.select("query").filter("query IS NOT NULL").distinct()
+    if asked.limit(COPIED + 1).count() <= COPIED:
+        return master.withColumn("__text", text).join(F.broadcast(asked), F.expr("contains(__text, lower(trim(query)))")).drop("__text")
+    rows = staged(master.withColumns({"__text": text, "__row": F.monotonically_increasing_id()}), "records")
+    keyed = asked.withColumn("__key", F.lower(F.trim("query")))
+    patterns = keyed.select("__key").distinct()
+    found = containment.pairs(rows.select(F.col("__row").alias("t"), F.col("__text").alias("text")), patterns.select(F.col("__key").alias("p"), F.col("__key").alias("pattern")))
+    return rows.join(found.withColumnRenamed("t", "__row"), "__row").join(keyed.withColumnRenamed("__key", "p"), "p").drop("p", "__text", "__row")
 
 
 def scored_search(query: Column, master: DataFrame, unicode: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from . import containment
+from .sequence import numbered
 
 #: States of a run in the order of success, and the two other ends.
 HAPPY_PATH = ("CREATED", "OCR_COMPLETED", "EXTRACTED", "VALIDATED", "ORDER_OPEN", "DEBTOR_RESOLVED", "ITEMS_RESOLVED", "ORDER_VALIDATED", "ORDER_SAVED", "ORDER_VERIFIED", "INVOICE_OPEN", "PAYMENT_APPLIED", "INVOICE_SAVED", "FINAL_VERIFIED")
@@ -58,14 +60,14 @@ def timeline(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("doc_id", F.explode(F.array_compact(F.array(*made))).alias("x")).select("doc_id", "x.*")
 
 
-def documents(orders: DataFrame, today: str) -> DataFrame:
+def documents(orders: DataFrame, today: str, nth: Column | None = None) -> DataFrame:
     """Order and invoice records of finished orders, linked by a transaction id; orders has doc_id, reference, order_date, status, total_gross.
 
-    Numbers follow the document id, so that every run gives the same ones.
+    Numbers follow the document id, so that every run gives the same ones; or the place of the order if that is given.
     """
     link = F.sha2(F.col("doc_id").cast("string"), 256)
     of = lambda kind, number, date, state: F.struct(F.lit(kind).alias("document_type"), number.alias("number"), date.alias("date"), state.alias("state"))
-    number = lambda p: F.format_string(p + "-%05d", F.col("doc_id"))
+    number = lambda p: F.format_string(p + "-%05d", F.col("doc_id") if nth is None else 2 * nth - (1 if p == "ORD" else 0))
     paid = F.when(F.col("status") == "PAID", "paid").otherwise("unpaid")
     two = F.array(of("Order", number("ORD"), F.col("order_date"), F.lit("open")), of("Invoice", number("INV"), F.lit(today).cast("date"), paid))
     return orders.select("doc_id", "reference", F.col("total_gross").alias("total"), link.alias("transaction_id"), F.explode(two).alias("d")).select("doc_id", "reference", "total", "transaction_id", "d.*")
@@ -109,6 +111,47 @@ def greedy_assign(items: DataFrame, rows: DataFrame) -> DataFrame:
     return items.withColumn("nth", nth(["pos"])).join(rows.withColumn("nth", nth(["top", "row"])).select("doc_id", "sku", "nth", "row"), ["doc_id", "sku", "nth"], "left")
 
 
+def assign_containing(items: DataFrame, rows: DataFrame, unicode: bool = False) -> DataFrame:
+    """Each item in turn takes the topmost row left whose text contains its SKU: items (doc_id, pos, sku) with their row, null if none is left.
+
+    rows is (doc_id, row, top, text). Unlike `greedy_assign` a row may show several SKUs, or one as part of another. Candidates come from
+    an index of grams within the document; a document's items, at most as many as a claim header allows, are matched in one pass.
+    """
+    key = lambda c: T.normalize_text(F.col(c), unicode)
+    asked = items.select("doc_id", F.col("pos").alias("p"), key("sku").alias("pattern"))
+    met = containment.pairs(rows.select("doc_id", F.col("row").alias("t"), key("text").alias("text")), asked, ("doc_id",))
+    edges = met.select("doc_id", F.col("p").alias("pos"), F.col("t").alias("row")).join(rows.select("doc_id", "row", "top"), ["doc_id", "row"])
+    lists = edges.groupBy("doc_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("top", "row"))), lambda x: x["row"]).alias("rows"))
+    one = lists.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rows"))).alias("all"))
+    kind, at = rows.schema["row"].dataType.simpleString(), items.schema["pos"].dataType.simpleString()
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast(f"array<struct<pos:{at},row:{kind}>>").alias("made"))
+
+    def take(acc: Column, item: Column) -> Column:
+        left = F.array_except(item["rows"], acc["used"])
+        free = F.size(left) > 0
+        used = F.when(free, F.concat(acc["used"], F.slice(left, 1, 1))).otherwise(acc["used"])
+        made = F.when(free, F.concat(acc["made"], F.array(F.struct(item["pos"].alias("pos"), F.get(left, F.lit(0)).alias("row"))))).otherwise(acc["made"])
+        return F.struct(used.alias("used"), made.alias("made"))
+
+    taken = one.select("doc_id", F.explode(F.aggregate("all", none, take)["made"]).alias("x")).select("doc_id", "x.pos", "x.row")
+    return items.join(taken, ["doc_id", "pos"], "left")
+
+
+def new_row_with(before: DataFrame, after: DataFrame, wanted: DataFrame, unicode: bool = False) -> DataFrame:
+    """(doc_id, row, problem): the one row of a later snapshot that the earlier one lacks and that contains the document's SKU. wanted is (doc_id, sku)."""
+    key = lambda c: T.normalize_text(F.col(c), unicode)
+    fresh = after.join(before.select("doc_id", "row"), ["doc_id", "row"], "left_anti").select("doc_id", F.col("row").alias("t"), key("text").alias("text"))
+    met = containment.pairs(fresh, wanted.select("doc_id", F.lit(0).alias("p"), key("sku").alias("pattern")), ("doc_id",))
+    found = wanted.select("doc_id").join(met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("row")), "doc_id", "left")
+    problem = F.when(F.col("n") > 1, "multiple new rows").when(F.col("n").isNull(), "no new row")
+    return found.select("doc_id", F.when(F.col("n") == 1, F.col("row")).alias("row"), problem.alias("problem"))
+
+
+def documents_in_order(orders: DataFrame, order: list[str], today: str) -> DataFrame:
+    """`documents` with numbers by sequence: the k-th order takes the number after the 2 (k - 1) records before it, its invoice the next."""
+    return documents(numbered(orders, order, "__nth"), today, F.col("__nth"))
+
+
 def new_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a later snapshot that the earlier one lacks, where a document has just one."""
     fresh = after.join(before.select(*keys), keys, "left_anti")
