@@ -58,7 +58,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Headings of the synthesised item table with their horizontal extents.
-HEADINGS = (("#", 10, 40), ("SKU", 90, 170), ("QTY", 600, 650), ("UNIT NET (USD)", 760, 910), ("DISC.", 940, 1000), ("VAT", 1040, 1090), ("LINE NET (USD)", 1180, 1360))
+HEADINGS = (("POS", 22, 64), ("SKU", 130, 236), ("QTY", 430, 488), ("UNIT PRICE", 655, 790), ("DISCOUNT", 850, 946), ("TAX", 1004, 1052), ("LINE TOTAL", 1130, 1262))
+HEADING_Y = 88
+#: Labels of the totals with their horizontal extents, and those of the amounts below.
+TOTALS = (("NET TOTAL", 164, 272, 178, 305), ("VAT TOTAL", 517, 628, 530, 660), ("GROSS TOTAL", 871, 1010, 884, 1022))
 PAGE_WIDTH = 1400
 
 
@@ -80,9 +83,9 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = lambda text, x0, y0, x1: F.struct(text.alias("text"), F.lit(x0).alias("x0"), y0.cast("int").alias("y0"), F.lit(x1).alias("x1"))
     gross = (F.col("net") + F.col("vat")).cast("decimal(18,2)")
     amount = lambda c: F.concat(F.lit("EUR "), c.cast("string"))
-    marks = [fixed(F.lit(t), x0, F.lit(100), x1) for t, x0, x1 in HEADINGS]
-    marks += [fixed(F.lit("NET TOTAL"), 100, base, 200), fixed(F.lit("VAT TOTAL"), 300, base, 400), fixed(F.lit("GROSS TOTAL"), 500, base, 620)]
-    marks += [fixed(amount(F.col("net")), 90, base + 50, 210), fixed(amount(F.col("vat")), 290, base + 50, 410), fixed(amount(gross), 500, base + 50, 620)]
+    marks = [fixed(F.lit(t), x0, F.lit(HEADING_Y), x1) for t, x0, x1 in HEADINGS]
+    marks += [fixed(F.lit(t), a, base, b) for t, a, b, _, _ in TOTALS]
+    marks += [fixed(amount(c), a, base + 46, b) for c, (_, _, _, a, b) in zip((F.col("net"), F.col("vat"), gross), TOTALS, strict=True)]
     heads = docs.select("doc_id", F.explode(F.array(*marks)).alias("c")).select("doc_id", "c.text", "c.x0", "c.y0", "c.x1", (F.col("c.y0") + 30).alias("y1"))
     every = cells.unionByName(heads)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("y0", "x0", "y1", "x1"))
@@ -97,18 +100,19 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
     only = lambda when, *x: F.when(when, F.array(*x)).otherwise(F.array().cast("array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>"))
     zip_b, zip_d = joined(10000 + F.pmod(k, F.lit(80000)), " ", F.col("n_name")), joined(20000 + F.pmod(k, F.lit(70000)), " ", F.col("n_name"))
+    # values stand to the right of their labels, in rows far apart
     always = F.array(
-        mark("COMPANY", 80, 40, 220, 60), mark(F.col("c_name"), 80, 65, 330, 85), mark("CONTACT NAME", 620, 40, 820, 60), mark(joined("Ann Mary ", F.col("n_name")), 620, 65, 780, 85),
-        mark("Billing Address", 80, 100, 280, 130), mark("Delivery Address", 620, 100, 850, 130), mark(joined("Main Road ", k), 80, 145, 310, 170), mark(joined("Dock Road ", k), 620, 145, 830, 170),
-        mark(zip_b, 80, 185, 300, 210), mark(zip_d, 620, 185, 830, 210), mark("Germany", 80, 225, 180, 250), mark("PAYMENT", 60, 340, 180, 370),
-        mark("PAYMENT METHOD", 100, 400, 300, 420), mark("Bank Transfer", 100, 430, 300, 450), mark("PAID STATUS", 400, 400, 600, 420), mark("PAYMENT DATE", 700, 400, 900, 420), mark("2026-07-18", 700, 430, 850, 450),
+        mark("COMPANY", 28, 48, 146, 70), mark(F.col("c_name"), 168, 48, 402, 70), mark("CONTACT NAME", 762, 48, 916, 70), mark(joined("Ann Mary ", F.col("n_name")), 938, 48, 1190, 70),
+        mark("Billing Address", 28, 172, 190, 194), mark("Delivery Address", 762, 172, 934, 194), mark(joined("Main Road ", k, "a"), 28, 212, 240, 234), mark(joined("Dock Road ", k, "a"), 762, 212, 978, 234),
+        mark(zip_b, 28, 252, 306, 274), mark(zip_d, 762, 252, 1034, 274), mark("Germany", 28, 292, 122, 314), mark("PAYMENT", 28, 410, 132, 432),
+        mark("PAYMENT METHOD", 28, 530, 204, 552), mark("Bank Transfer", 222, 530, 360, 552), mark("PAID STATUS", 28, 650, 158, 672), mark("PAYMENT DATE", 28, 770, 176, 792), mark("2026-07-18", 194, 770, 306, 792),
     )
     every = F.concat(
         always,
-        only(F.pmod(k, F.lit(7)) != 0, mark("Germany", 620, 225, 720, 250)),
-        only(F.pmod(k, F.lit(5)) == 0, mark(zip_b, 620, 265, 830, 290)),
-        only(F.pmod(k, F.lit(6)) != 5, mark("PAID", 400, 430, 500, 450)),
-        only(F.pmod(k, F.lit(6)) == 0, mark("UNPAID", 400, 430, 500, 450)),
+        only(F.pmod(k, F.lit(7)) != 0, mark("Germany", 762, 292, 856, 314)),
+        only(F.pmod(k, F.lit(5)) == 0, mark(zip_b, 762, 332, 1034, 354)),
+        only(F.pmod(k, F.lit(6)) != 5, mark("PAID", 180, 650, 236, 672)),
+        only(F.pmod(k, F.lit(6)) == 0, mark("UNPAID", 180, 650, 236, 672)),
     )
     long = c.select(k.alias("doc_id"), F.explode(every).alias("m")).select("doc_id", F.lit(1).alias("page"), "m.*")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("y0", "x0", "y1", "x1", "text"))
@@ -136,18 +140,24 @@ def claim_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 _FORM = [
-    ("'COMPANY'", 80, 40, 220, 60, ""), ("c_name", 80, 65, 330, 85, ""), ("'CONTACT NAME'", 620, 40, 820, 60, ""), ("concat('Ann Mary ', n_name)", 620, 65, 780, 85, ""),
-    ("'Billing Address'", 80, 100, 280, 130, ""), ("'Delivery Address'", 620, 100, 850, 130, ""), ("concat('Main Road ', c_custkey)", 80, 145, 310, 170, ""), ("concat('Dock Road ', c_custkey)", 620, 145, 830, 170, ""),
-    ("concat(10000 + c_custkey % 80000, ' ', n_name)", 80, 185, 300, 210, ""), ("concat(20000 + c_custkey % 70000, ' ', n_name)", 620, 185, 830, 210, ""), ("'Germany'", 80, 225, 180, 250, ""), ("'PAYMENT'", 60, 340, 180, 370, ""),
-    ("'PAYMENT METHOD'", 100, 400, 300, 420, ""), ("'Bank Transfer'", 100, 430, 300, 450, ""), ("'PAID STATUS'", 400, 400, 600, 420, ""), ("'PAYMENT DATE'", 700, 400, 900, 420, ""), ("'2026-07-18'", 700, 430, 850, 450, ""),
-    ("'Germany'", 620, 225, 720, 250, "c_custkey % 7 <> 0"), ("concat(10000 + c_custkey % 80000, ' ', n_name)", 620, 265, 830, 290, "c_custkey % 5 = 0"),
-    ("'PAID'", 400, 430, 500, 450, "c_custkey % 6 <> 5"), ("'UNPAID'", 400, 430, 500, 450, "c_custkey % 6 = 0"),
+    ("'COMPANY'", 28, 48, 146, 70, ""), ("c_name", 168, 48, 402, 70, ""), ("'CONTACT NAME'", 762, 48, 916, 70, ""), ("concat('Ann Mary ', n_name)", 938, 48, 1190, 70, ""),
+    ("'Billing Address'", 28, 172, 190, 194, ""), ("'Delivery Address'", 762, 172, 934, 194, ""), ("concat('Main Road ', c_custkey, 'a')", 28, 212, 240, 234, ""), ("concat('Dock Road ', c_custkey, 'a')", 762, 212, 978, 234, ""),
+    ("concat(10000 + c_custkey % 80000, ' ', n_name)", 28, 252, 306, 274, ""), ("concat(20000 + c_custkey % 70000, ' ', n_name)", 762, 252, 1034, 274, ""), ("'Germany'", 28, 292, 122, 314, ""), ("'PAYMENT'", 28, 410, 132, 432, ""),
+    ("'PAYMENT METHOD'", 28, 530, 204, 552, ""), ("'Bank Transfer'", 222, 530, 360, 552, ""), ("'PAID STATUS'", 28, 650, 158, 672, ""), ("'PAYMENT DATE'", 28, 770, 176, 792, ""), ("'2026-07-18'", 194, 770, 306, 792, ""),
+    ("'Germany'", 762, 292, 856, 314, "c_custkey % 7 <> 0"), ("concat(10000 + c_custkey % 80000, ' ', n_name)", 762, 332, 1034, 354, "c_custkey % 5 = 0"),
+    ("'PAID'", 180, 650, 236, 672, "c_custkey % 6 <> 5"), ("'UNPAID'", 180, 650, 236, 672, "c_custkey % 6 = 0"),
 ]
 _FORM_ROWS = " UNION ALL ".join(f"SELECT c_custkey AS doc_id, {t} AS text, {a} AS x0, {b} AS y0, {c} AS x1, {d} AS y1 FROM cust{f' WHERE {w}' if w else ''}" for t, a, b, c, d, w in _FORM)
 
 _NET = "CAST(round(CAST(quantity * price AS DECIMAL(30,8)) * (CAST(100 AS DECIMAL(3,0)) - discount), 0) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 _VAT = "CAST(round(CAST(net AS DECIMAL(26,2)) * vat, 0) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
-_HEAD_ROWS = ", ".join(f"{{'text': '{t}', 'x0': {a}, 'y0': 100, 'x1': {b}}}" for t, a, b in HEADINGS)
+_HEAD_ROWS = ", ".join(f"{{'text': '{t}', 'x0': {a}, 'y0': {HEADING_Y}, 'x1': {b}}}" for t, a, b in HEADINGS)
+_PRINTED = ("CAST(pos + 1 AS VARCHAR)", "sku", "CAST(CAST(quantity AS DECIMAL(18,2)) AS VARCHAR)", "CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)", "concat(CAST(CAST(discount AS DECIMAL(7,2)) AS VARCHAR), '%')", "concat(CAST(CAST(vat AS DECIMAL(7,2)) AS VARCHAR), '%')", "CAST(net AS VARCHAR)")
+_CELL_ROWS = ", ".join(f"{{'text': {t}, 'x0': {a}, 'x1': {b}}}" for t, (_, a, b) in zip(_PRINTED, HEADINGS, strict=True))
+_TOTAL_ROWS = ", ".join(
+    [f"{{'text': '{t}', 'x0': {a}, 'y0': 340 + 40 * last, 'x1': {b}}}" for t, a, b, _, _ in TOTALS]
+    + [f"{{'text': concat('EUR ', CAST({c} AS VARCHAR)), 'x0': {a}, 'y0': 386 + 40 * last, 'x1': {b}}}" for c, (_, _, _, a, b) in zip(("net", "vat", "CAST(net + vat AS DECIMAL(18,2))"), TOTALS, strict=True)]
+)
 
 #: SQL twins of the builders, in order of use.
 CTES = {
@@ -169,18 +179,11 @@ lines AS (
          CASE o_custkey % 4 WHEN 0 THEN 'Bank Transfer' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'SEPA Direct Debit' ELSE 'PayPal' END AS method, o_custkey
   FROM orders)""",
     "spans": f"""cell_rows AS (
-  SELECT doc_id, 240 + 40 * pos AS y0, unnest([
-    {{'text': CAST(pos + 1 AS VARCHAR), 'x0': 10, 'x1': 40}}, {{'text': sku, 'x0': 90, 'x1': 170}},
-    {{'text': CAST(CAST(quantity AS DECIMAL(18,2)) AS VARCHAR), 'x0': 600, 'x1': 650}}, {{'text': CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR), 'x0': 760, 'x1': 910}},
-    {{'text': concat(CAST(CAST(discount AS DECIMAL(7,2)) AS VARCHAR), '%'), 'x0': 940, 'x1': 1000}}, {{'text': concat(CAST(CAST(vat AS DECIMAL(7,2)) AS VARCHAR), '%'), 'x0': 1040, 'x1': 1090}},
-    {{'text': CAST(net AS VARCHAR), 'x0': 1180, 'x1': 1360}}]) AS c
+  SELECT doc_id, 240 + 40 * pos AS y0, unnest([{_CELL_ROWS}]) AS c
   FROM lines),
 doc_rows AS (SELECT doc_id, max(pos) AS last, CAST(sum(net) AS DECIMAL(18,2)) AS net, CAST(sum(line_vat) AS DECIMAL(18,2)) AS vat FROM lines GROUP BY doc_id),
 mark_rows AS (
-  SELECT doc_id, unnest([{_HEAD_ROWS},
-    {{'text': 'NET TOTAL', 'x0': 100, 'y0': 340 + 40 * last, 'x1': 200}}, {{'text': 'VAT TOTAL', 'x0': 300, 'y0': 340 + 40 * last, 'x1': 400}}, {{'text': 'GROSS TOTAL', 'x0': 500, 'y0': 340 + 40 * last, 'x1': 620}},
-    {{'text': concat('EUR ', CAST(net AS VARCHAR)), 'x0': 90, 'y0': 390 + 40 * last, 'x1': 210}}, {{'text': concat('EUR ', CAST(vat AS VARCHAR)), 'x0': 290, 'y0': 390 + 40 * last, 'x1': 410}},
-    {{'text': concat('EUR ', CAST(CAST(net + vat AS DECIMAL(18,2)) AS VARCHAR)), 'x0': 500, 'y0': 390 + 40 * last, 'x1': 620}}]) AS c
+  SELECT doc_id, unnest([{_HEAD_ROWS}, {_TOTAL_ROWS}]) AS c
   FROM doc_rows),
 placed AS (
   SELECT doc_id, c.text AS text, c.x0 AS x0, y0, c.x1 AS x1 FROM cell_rows
