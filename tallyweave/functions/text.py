@@ -152,9 +152,8 @@ def component_matches(value: Column, component: Column, other: Column, unicode:
 
 def disjoint_occurrences(source: Column, first: Column, last: Column) -> Column:
     """Whether both parts occur in the text at places that do not overlap."""
-    def starts(part: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(source), F.lit(1))), lambda i: F.substring(source, i, F.length(part)) == part)
-        return F.when(F.length(part) > 0, places).otherwise(F.array().cast("array<int>"))
-
-    apart = lambda i, j: (i + F.length(first) <= j) | (j + F.length(last) <= i)
-    return F.exists(starts(first), lambda i: F.exists(starts(last), lambda j: apart(i, j)))
+    ends = lambda part: F.instr(source, part) + F.length(part)
+    starts = lambda part: F.length(source) - F.instr(F.reverse(source), F.reverse(part)) - F.length(part) + 2
+    # the earliest end of one against the latest start of the other
+    both = (F.length(first) > 0) & (F.length(last) > 0) & source.contains(first) & source.contains(last)
+    return both & ((ends(first) <= starts(last)) | (ends(last) <= starts(first)))

@@ -161,3 +161,13 @@ def payload(issues: DataFrame) -> DataFrame:
     """The issues of a document as one line, by code and path."""
     one = F.concat_ws("|", "code", "path", "severity")
     return issues.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(one)), "; ").alias("payload"), F.count(F.lit(1)).alias("n_issues"))
+
+
+def summary(documents: DataFrame, issues: DataFrame) -> DataFrame:
+    """(doc_id, payload): whether a document is valid and needs review, and its issues in the order of n, as one JSON text. Documents without issues are valid."""
+    one = F.struct("n", F.struct("code", "path", "severity", "message").alias("issue"))
+    own = issues.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["issue"]).alias("issues"), F.max(F.col("severity") == ERROR).alias("failed"))
+    every = documents.select("doc_id").join(own, "doc_id", "left")
+    none = F.array().cast(own.schema["issues"].dataType)
+    body = F.struct((~F.coalesce("failed", F.lit(False))).alias("valid"), F.col("issues").isNotNull().alias("requires_review"), F.coalesce("issues", none).alias("issues"))
+    return every.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))

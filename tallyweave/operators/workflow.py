@@ -172,6 +172,21 @@ def review_packet(issues: DataFrame, evidence: DataFrame, drafts: DataFrame, wid
     )
 
 
+#: What a reviewer is told unless the caller has a wording of their own: before an order may have been saved, and after.
+BEFORE_SAVING = ("Check each field of the list against its clipping or the page.", "Mend the record itself; leave computed totals to the computation.", "Validate again before anything is written.")
+AFTER_SAVING = ("The order may be saved already: create no record again.", "Look up the checkpoint and the saved records by their numbers.", "Settle this state by hand.")
+
+
+def review_notes(states: DataFrame, issues: DataFrame, before: tuple[str, ...] = BEFORE_SAVING, after: tuple[str, ...] = AFTER_SAVING) -> DataFrame:
+    """(doc_id, packet): what a reviewer gets as JSON: the state of the run, its issues in the order of n, what to do. states is (doc_id, workflow_id, state)."""
+    one = F.struct("n", F.struct("path", "code", "severity", "message", "source_crop").alias("issue"))
+    own = issues.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["issue"]).alias("issues"))
+    told = lambda lines: F.array(*map(F.lit, lines))
+    advice = F.when(saved_or_later(F.col("state")), told(after)).otherwise(told(before))
+    body = F.struct(F.lit("HUMAN_REVIEW_REQUIRED").alias("status"), F.col("state").alias("workflow_state"), "workflow_id", "issues", advice.alias("review_instructions"))
+    return states.join(own, "doc_id").select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("packet"))
+
+
 def judged(events: DataFrame) -> DataFrame:
     """(workflow_id, seq, state, prior_state, legal) of events (workflow_id, ts, event_id, state), in order of time and id.
 

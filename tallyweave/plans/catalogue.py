@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("reconciliation", "layout", "claims", "workflow", "streams", "extras", "gateway", "orders", "extraction", "matching", "answers")
+MODULES: tuple[str, ...] = ("reconciliation", "layout", "claims", "workflow", "streams", "extras", "gateway", "orders", "extraction", "matching", "answers", "legacy")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

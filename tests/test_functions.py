@@ -76,3 +76,15 @@ def test_name_parts(spark):
     assert tuple(one(spark, T.contact_name(F.col("c")), c="Ada")) == (None, "Ada")
     assert one(spark, T.disjoint_occurrences(F.col("c"), F.col("a"), F.col("b")), c="Ann Ann", a="Ann", b="Ann")
     assert not one(spark, T.disjoint_occurrences(F.col("c"), F.col("a"), F.col("b")), c="Annabel", a="Anna", b="nabel")
+
+
+def test_occurrences_that_do_not_overlap(spark):
+    import itertools
+
+    words = ["a", "b", "ab", "ba", "aab", "aba", ""]
+    texts = ["".join(x) for n in range(6) for x in itertools.product("ab", repeat=n)]
+    rows = spark.createDataFrame([(t, p, q) for t in texts for p in words for q in words], "c string, a string, b string")
+    found = {(r.c, r.a, r.b): r.d for r in rows.select("c", "a", "b", T.disjoint_occurrences(F.col("c"), F.col("a"), F.col("b")).alias("d")).collect()}
+    starts = lambda t, p: [i for i in range(len(t)) if p and t.startswith(p, i)]
+    for (t, p, q), got in found.items():
+        assert got == any(i + len(p) <= j or j + len(q) <= i for i in starts(t, p) for j in starts(t, q)), (t, p, q)
