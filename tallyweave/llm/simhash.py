@@ -175,21 +175,6 @@ def meetings(prints, bucket: int, bits: int, most: int = SORTED):
         yield heads[other], owner[other]
 
 
-def trees(n: int, a, b):
-    """For n nodes, the least node of each one's component under the links (a, b)."""
-    import numpy as np
-
-    root = np.arange(n)
-    while len(a):
-        x, y = root[a], root[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def links(spark: SparkSession, nodes: DataFrame, n: int) -> DataFrame:
     """(a, b): links whose components are those of all pairs within RADIUS; nodes has n distinct values of print."""
     common.ship(spark)
@@ -227,7 +212,7 @@ def links(spark: SparkSession, nodes: DataFrame, n: int) -> DataFrame:
         root = np.arange(len(prints))
         for a, b in meetings(prints, bucket, bits):
             near = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
-            merged = trees(len(prints), root[a[near]], root[b[near]])
+            merged = components.trees(len(prints), root[a[near]], root[b[near]])
             root = merged[root]
         tied = np.flatnonzero(root != np.arange(len(prints)))
         return pa.table({"a": prints[root[tied]].view(np.int64), "b": prints[tied].view(np.int64)})

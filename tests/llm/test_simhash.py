@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from tallyweave.llm import common, simhash
+from tallyweave.llm import common, components, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,5 +104,26 @@ def test_every_pair_within_the_radius_meets(bits):
 
 
 def test_trees():
-    root = simhash.trees(6, np.array([4, 5, 1]), np.array([5, 3, 2]))
+    root = components.trees(6, np.array([4, 5, 1]), np.array([5, 3, 2]))
     assert root.tolist() == [0, 1, 1, 3, 3, 3]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    rng = random.Random(1)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (7, 7)]
+    place = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def top(x):
+        while place[x] != x:
+            x = place[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            place[max(top(a), top(b))] = min(top(a), top(b))
+    with common.Scratch(spark) as tables:
+        found = components.roots(tables, spark.createDataFrame(pairs, "a long, b long"))
+        assert sorted(map(tuple, found.collect())) == sorted((x, top(x)) for x in place)
+        assert components.roots(tables, spark.createDataFrame([], "a long, b long")).count() == 0
