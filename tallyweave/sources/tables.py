@@ -188,7 +188,7 @@ mark_rows AS (
 placed AS (
   SELECT doc_id, c.text AS text, c.x0 AS x0, y0, c.x1 AS x1 FROM cell_rows
   UNION ALL SELECT doc_id, c.text, c.x0, c.y0, c.x1 FROM mark_rows),
-spans AS (
+spans AS MATERIALIZED (
   SELECT doc_id, 1 AS page, CAST(n - 1 AS INTEGER) AS reading_order, printf('ocr_%04d', n) AS id, text, x0, y0, x1, y0 + 30 AS y1
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, x1) AS n FROM placed))""",
     "claims": """clong AS (
