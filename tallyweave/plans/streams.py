@@ -90,9 +90,13 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM i GROUP BY user_id, s"""
 
 _NAMES = ", ".join(f"'{n}'" for n in HAPPY_PATH)
-_JUDGED = f"""WITH RECURSIVE e AS MATERIALIZED (
+
+
+def _judged(state: str) -> str:
+    """Transitions one event after the other; state is SQL over an event."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (
   SELECT workflow_id, state, list_position([{_NAMES}], state) - 1 AS pos, state IN ('MANUAL_REVIEW', 'FAILED') AS ends, row_number() OVER (PARTITION BY workflow_id ORDER BY ts, event_id) - 1 AS seq
-  FROM (SELECT user_id AS workflow_id, ts, event_id, CASE WHEN event_type = 'error' AND event_id % 25 = 0 THEN 'FAILED' WHEN event_id % 97 = 5 THEN 'MANUAL_REVIEW' ELSE [{_NAMES}][least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2, 13) + 1] END AS state FROM events)
+  FROM (SELECT user_id AS workflow_id, ts, event_id, {state} AS state FROM events)
 ), m AS (
   SELECT workflow_id, seq, state, CAST(NULL AS VARCHAR) AS prior_state, ends OR coalesce(pos = 0, false) AS legal, CASE WHEN pos = 0 THEN 0 ELSE -1 END AS place, CASE WHEN ends OR pos = 0 THEN state END AS prior FROM e WHERE seq = 0
   UNION ALL
@@ -101,8 +105,14 @@ _JUDGED = f"""WITH RECURSIVE e AS MATERIALIZED (
 )
 SELECT workflow_id, seq, state, prior_state, legal FROM m"""
 
+
+_JUDGED = _judged(f"CASE WHEN event_type = 'error' AND event_id % 25 = 0 THEN 'FAILED' WHEN event_id % 97 = 5 THEN 'MANUAL_REVIEW' ELSE [{_NAMES}][least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2, 13) + 1] END")
+
+
 ORACLES = {
     "q_batch_sessions": _SESSIONS,
+    "q_stream_sessions": f"SELECT * FROM ({_SESSIONS}) WHERE \"end\" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "q_stream_transitions": _judged(f"CASE WHEN event_type = 'error' THEN 'MANUAL_REVIEW' ELSE [{_NAMES}][(event_id // 150 + 1) % 14 + 1] END"),
     "q_judged_states": _JUDGED,
     "q_judged_stream": _JUDGED,
     "q_latest_once": "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_logged FROM events GROUP BY user_id",
