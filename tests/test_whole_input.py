@@ -34,3 +34,15 @@ def test_substring_search_asks_every_query(spark):
     queries = spark.createDataFrame([(f" NAME <{k}>",) for k in range(1500)] + [("nobody",)], "query string")
     found = resolve.substring_search(queries, master, ["name"]).select("query", "id").collect()
     assert sorted((r.id, r.query) for r in found) == [(k, f" NAME <{k}>") for k in range(1500)]
+
+
+def test_unicode_keys_of_every_document(spark):
+    import hashlib
+    import unicodedata
+
+    from tallyweave.plans import workflow
+
+    texts = {r.doc_id: r.text for r in S.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    key = lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+    got = {r.doc_id: r.key for r in workflow.q_normalize_unicode(spark, SF).collect()}
+    assert got == {i: hashlib.sha256(key(t or "").encode()).hexdigest() for i, t in texts.items()}
