@@ -144,7 +144,7 @@ def q_saved_states(spark, sf):
 
 def q_review_packet(spark, sf):
     issues = rules.line_issues(S.lines(spark, sf))
-    spans = S.spans(spark, sf).filter("x0 = 1180 AND y0 > 200")
+    spans = S.spans(spark, sf).filter(f"x0 = {S.HEADINGS[-1][1]} AND y0 > 200")
     boxes = spans.select("doc_id", F.concat(F.lit("items["), ((F.col("y0") - 240) / 40).cast("int").cast("string"), F.lit("].source_total")).alias("path"), F.col("text").alias("source_text"), "x0", "y0", "x1", "y1")
     return W.review_packet(issues, boxes.filter("doc_id % 2 = 0"), boxes, 1400, 900)
 
@@ -278,7 +278,7 @@ UNION ALL SELECT doc_id, CAST(stop AS INTEGER), CASE WHEN stop IN (0, 4) THEN 'F
     ),
     "q_saved_states": "SELECT event_id, event_id % 14 >= 8 AS saved FROM events",
     "q_review_packet": oracle(
-        """SELECT doc_id, concat('items[', pos, '].source_total') AS path, 'LINE_TOTAL_MISMATCH' AS code, 'error' AS severity, CAST(net AS VARCHAR) AS source_text, 1180 - 45 AS x0, 240 + 40 * pos - 45 AS y0, 1400 AS x1, least(900, 270 + 40 * pos + 45) AS y1, concat('items_', pos, '__source_total') AS crop
+        f"""SELECT doc_id, concat('items[', pos, '].source_total') AS path, 'LINE_TOTAL_MISMATCH' AS code, 'error' AS severity, CAST(net AS VARCHAR) AS source_text, {S.HEADINGS[-1][1] - 45} AS x0, 240 + 40 * pos - 45 AS y0, least(1400, {S.HEADINGS[-1][2] + 45}) AS x1, least(900, 270 + 40 * pos + 45) AS y1, concat('items_', pos, '__source_total') AS crop
 FROM lines WHERE abs(net - source_total) > 0.01""",
         "lines",
     ),
