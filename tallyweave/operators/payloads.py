@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.resolve import addresses_match
+from .extraction import staged
 
 
 def prompt_payload(spans: DataFrame, pages: DataFrame) -> DataFrame:
@@ -67,12 +68,16 @@ def visible_rows(controls: DataFrame) -> DataFrame:
 
 
 def depths(tree: DataFrame, limit: int = 30) -> DataFrame:
-    """Depth of each node of (node, parent), roots at 0, down to a limit."""
-    spark = tree.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, depth) AS (
-  SELECT node, 0 FROM {{tree}} WHERE parent IS NULL
-  UNION ALL SELECT t.node, w.depth + 1 FROM {{tree}} t JOIN walk w ON t.parent = w.node WHERE w.depth < {limit})
-SELECT node, depth FROM walk""",
-        tree=tree,
-    )
+    """Depth of each node of (node, parent), roots at 0, down to a limit; nodes below no root have none.
+
+    Every node holds a step to an ancestor and takes over that one's step, so that steps double in each round: the rounds grow
+    with the logarithm of the limit, each is one join of written tables, and no table is larger than the tree.
+    """
+    root = F.col("parent").isNull()
+    steps = tree.select("node", F.when(~root, F.col("parent")).alias("up"), F.when(root, 0).otherwise(1).alias("depth"))
+    for _ in range(limit.bit_length()):
+        steps = staged(steps, "depths")
+        far = steps.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more")).hint("merge")
+        on = steps.filter("up IS NOT NULL").join(far, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        steps = steps.filter("up IS NULL").unionByName(on)
+    return steps.filter((F.col("up").isNull()) & (F.col("depth") <= limit)).select("node", "depth")
