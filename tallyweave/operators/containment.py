@@ -33,9 +33,10 @@ def pairs(texts: DataFrame, patterns: DataFrame, keys: tuple[str, ...] = ()) ->
     for n in sizes:
         own = F.when(F.least(F.length("pattern"), F.lit(SIZE)) == n, _grams(F.col("pattern"), n)).otherwise(own)
     of_pattern = patterns.select(*keys, "p", own.alias("grams")).select(*keys, "p", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequency = of_text.join(of_pattern.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("texts"))
+    # counted before anything is joined: what moves are counts. No side is broadcast, as exploded rows are not in Spark's estimates
+    frequency = of_text.groupBy(*on).agg(F.count(F.lit(1)).alias("texts"))
     # a pattern with a gram that no text has is in none
-    rarest = of_pattern.join(frequency, on).groupBy(*keys, "p", "n").agg(F.count(F.lit(1)).alias("found"), F.min_by("gram", F.struct("texts", "gram")).alias("gram")).filter("found = n")
-    met = of_text.join(rarest.select(*on, "p"), on)
-    whole = met.select(*keys, "t", "p").join(texts.select(*keys, "t", "text"), [*keys, "t"]).join(patterns.select(*keys, "p", "pattern"), [*keys, "p"])
+    rarest = of_pattern.join(frequency.hint("merge"), on).groupBy(*keys, "p", "n").agg(F.count(F.lit(1)).alias("found"), F.min_by("gram", F.struct("texts", "gram")).alias("gram")).filter("found = n")
+    met = of_text.join(rarest.select(*on, "p").hint("merge"), on)
+    whole = met.select(*keys, "t", "p").join(texts.select(*keys, "t", "text").hint("merge"), [*keys, "t"]).join(patterns.select(*keys, "p", "pattern").hint("merge"), [*keys, "p"])
     return whole.filter(F.contains("text", "pattern")).select(*keys, "t", "p")

@@ -114,7 +114,7 @@ def substring_search(queries: DataFrame, master: DataFrame, fields: list[str]) -
     keyed = asked.withColumn("__key", F.lower(F.trim("query")))
     patterns = keyed.select("__key").distinct()
     found = containment.pairs(rows.select(F.col("__row").alias("t"), F.col("__text").alias("text")), patterns.select(F.col("__key").alias("p"), F.col("__key").alias("pattern")))
-    return rows.join(found.withColumnRenamed("t", "__row"), "__row").join(keyed.withColumnRenamed("__key", "p"), "p").drop("p", "__text", "__row")
+    return rows.join(found.withColumnRenamed("t", "__row").hint("merge"), "__row").join(keyed.withColumnRenamed("__key", "p").hint("merge"), "p").drop("p", "__text", "__row")
 
 
 def scored_search(query: Column, master: DataFrame, unicode: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import resolve as R
@@ -22,8 +23,8 @@ def q_substring_many(spark, sf):
 def _rows(spark, sf):
     """Items of orders, and table rows that show an item's SKU and the next one's; some rows are missing, the order is reversed."""
     items = S.items(spark, sf).select("doc_id", "pos", "sku")
-    after = items.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("sku").alias("next"))
-    rows = items.join(after, ["doc_id", "pos"], "left").filter("pos % 5 <> 3")
+    after = F.lead("sku").over(Window.partitionBy("doc_id").orderBy("pos"))
+    rows = items.withColumn("next", after).filter("pos % 5 <> 3")
     return items, rows.select("doc_id", F.col("pos").alias("row"), (100 - F.col("pos")).alias("top"), F.concat_ws("  ", F.lower("sku"), "next").alias("text"))
 
 
