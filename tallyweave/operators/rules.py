@@ -92,8 +92,13 @@ def critical_paths(orders: DataFrame) -> DataFrame:
 def missing_evidence(critical: DataFrame, grounded: DataFrame) -> DataFrame:
     """One issue for each document with critical paths that no evidence grounds; the paths sorted. grounded is (doc_id, path)."""
     lists = grounded.groupBy("doc_id").agg(F.collect_set("path").alias("grounded"))
+    return ungrounded(critical.join(lists.hint("merge"), "doc_id", "left"))
+
+
+def ungrounded(rows: DataFrame) -> DataFrame:
+    """The issues of `missing_evidence` where both kinds of paths are in the document's row: (doc_id, critical, grounded)."""
     gaps = F.array_except("critical", F.coalesce("grounded", F.array().cast("array<string>")))
-    left = critical.join(lists, "doc_id", "left").select("doc_id", F.array_sort(gaps).alias("gaps")).filter(F.size("gaps") > 0)
+    left = rows.select("doc_id", F.inline(F.array(F.struct(F.sort_array(gaps).alias("gaps"))))).filter(F.size("gaps") > 0)
     return left.select("doc_id", F.lit("MISSING_CRITICAL_EVIDENCE").alias("code"), F.lit("evidence").alias("path"), F.array_join("gaps", ", ").alias("message"), F.lit(ERROR).alias("severity"))
 
 
