@@ -186,6 +186,11 @@ class PieceModel:
         #: Arcs by state * 2**21 + character.
         self.delta: dict[int, int] = {}
 
+    def forget(self) -> None:
+        """Gives back what is remembered of inputs: a worker that waits for other stages' tasks keeps the compiled model alone."""
+        self.cache = {}
+        self._forget()
+
     def _surface(self, piece) -> bytes:
         text, _, kind = piece
         if kind == BYTE:
@@ -340,24 +345,27 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
 
         own = model(path)
         is_byte = np.array([p[2] == BYTE for p in own.pieces])
-        for keys, texts in _slices(batches, 1_000_000):
-            raws = [own.encode(t) for t in texts]
-            ends = np.cumsum([0] + [len(r) // 4 for r in raws])
-            flat = np.frombuffer(b"".join(raws), "<i4")
-            fallback = np.concatenate([[0], np.cumsum(is_byte[flat])])
-            values = flat.tolist()
-            decoded = [own.decode(values[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-            yield pa.record_batch(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array(np.diff(ends), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
-                    pa.array(fallback[ends[1:]] - fallback[ends[:-1]], pa.int64()),
-                    pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]),
-                    pa.array([d == t for d, t in zip(decoded, texts, strict=True)]),
-                ],
-                names=["doc_id", "n_ids", "ids", "n_fallback", "decoded_sha256", "round_trip"],
-            )
+        try:
+            for keys, texts in _slices(batches, 1_000_000):
+                raws = [own.encode(t) for t in texts]
+                ends = np.cumsum([0] + [len(r) // 4 for r in raws])
+                flat = np.frombuffer(b"".join(raws), "<i4")
+                fallback = np.concatenate([[0], np.cumsum(is_byte[flat])])
+                values = flat.tolist()
+                decoded = [own.decode(values[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                yield pa.record_batch(
+                    [
+                        pa.array(keys, pa.int64()),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
+                        pa.array(fallback[ends[1:]] - fallback[ends[:-1]], pa.int64()),
+                        pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]),
+                        pa.array([d == t for d, t in zip(decoded, texts, strict=True)]),
+                    ],
+                    names=["doc_id", "n_ids", "ids", "n_fallback", "decoded_sha256", "round_trip"],
+                )
+        finally:
+            own.forget()
 
     return picked.mapInArrow(common.lean(run), SCHEMA)
 
