@@ -13,11 +13,20 @@ from .extraction import staged
 def prompt_payload(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans of a document as positional rows in reading order; the page is left out where there is only one. (doc_id, payload)"""
     sizes = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.array("page", "width", "height"))).alias("pages"))
-    one = F.struct("reading_order", "id", "text", F.round("confidence", 3).alias("confidence"), F.array("x0", "y0", "x1", "y1").alias("bbox"), "page")
-    rows = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("spans")).join(sizes, "doc_id")
+    one = F.struct("reading_order", "id", "text", F.round("confidence", 3).alias("confidence"), "x0", "y0", "x1", "y1", "page")
+    return payload_rows(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("spans")).join(sizes.hint("merge"), "doc_id"))
+
+
+#: Fixed value: text that stands in JSON as it is.
+AS_IT_IS = r"^[ !#-\[\]-~]*\z"
+
+
+def payload_rows(rows: DataFrame) -> DataFrame:
+    """`prompt_payload` of documents in one row each: doc_id, spans in reading order (confidences rounded), pages as arrays of page, width, height."""
     several = F.size("pages") > 1
+    quoted = lambda c: F.when(c.rlike(AS_IT_IS), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1))
     # a row as JSON text: columns of a positional row differ in type
-    text = lambda x: F.concat(F.lit("["), F.concat_ws(",", F.to_json(F.array(x["id"], x["text"])).substr(F.lit(2), F.length(F.to_json(F.array(x["id"], x["text"]))) - 2), x["confidence"].cast("string"), F.to_json(x["bbox"]), F.when(several, x["page"].cast("string"))), F.lit("]"))
+    text = lambda x: F.concat(F.lit("["), F.concat_ws(",", quoted(x["id"]), quoted(x["text"]), x["confidence"].cast("string"), F.to_json(F.array(x["x0"], x["y0"], x["x1"], x["y1"])), F.when(several, x["page"].cast("string"))), F.lit("]"))
     names = F.when(several, '["id","text","confidence","bbox","page"]').otherwise('["id","text","confidence","bbox"]')
     body = F.concat(F.lit('{"pages":'), F.to_json("pages"), F.lit(',"page_columns":["page","width","height"],"span_columns":'), names, F.lit(',"spans":['), F.array_join(F.transform("spans", text), ","), F.lit("]}"))
     return rows.select("doc_id", body.alias("payload"))
